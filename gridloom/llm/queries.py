@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup
+from . import quality_rules, simhash_dedup
 
 QUERIES = {
     "op3_simhash_dedup": simhash_dedup.op3_query,
+    "op6_quality_rules": quality_rules.op6_query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_quality_rules": quality_rules.oracle_sql(),
+}
