@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash_dedup
+from . import quality_rules, simhash_dedup, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_query,
     "op3_simhash_dedup": simhash_dedup.op3_query,
     "op6_quality_rules": quality_rules.op6_query,
 }
