@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash_dedup, suffix_dedup
+from . import mixing, packing, quality_rules, simhash_dedup, suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.op2_query,
     "op3_simhash_dedup": simhash_dedup.op3_query,
+    "op4_best_fit_packing": packing.op4_query,
     "op6_quality_rules": quality_rules.op6_query,
+    "op7_source_mixing": mixing.op7_query,
 }
 
 SQL: dict[str, str] = {
+    "op4_best_fit_packing": packing.op4_query,
     "op6_quality_rules": quality_rules.oracle_sql(),
 }
