@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, simhash_dedup, suffix_dedup
+from . import mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_query,
     "op2_suffix_dedup": suffix_dedup.op2_query,
     "op3_simhash_dedup": simhash_dedup.op3_query,
     "op4_best_fit_packing": packing.op4_query,
