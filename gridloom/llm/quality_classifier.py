@@ -28,8 +28,8 @@ REACH = 2
 SAMPLE = 20_000
 HIDDEN = 32
 
-#: A token is a run of letters, a run of digits, or a run of one other sign.
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|([^\w\s])\1*|_+")
+#: A token is a run of letters, of digits, or of other signs.
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 class _Buckets(dict):
@@ -47,8 +47,7 @@ _buckets = _Buckets()
 
 
 def _tokens(text: str) -> np.ndarray:
-    look = _buckets.__getitem__
-    return np.fromiter((look(m.group()) for m in _TOKEN.finditer(text)), np.int64)
+    return np.fromiter(map(_buckets.__getitem__, _TOKEN.findall(text)), np.int64)
 
 
 @lru_cache(1)
