@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup
+from . import license_scan, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_query,
     "op2_suffix_dedup": suffix_dedup.op2_query,
     "op3_simhash_dedup": simhash_dedup.op3_query,
     "op4_best_fit_packing": packing.op4_query,
+    "op5_license_scan": license_scan.op5_query,
     "op6_quality_rules": quality_rules.op6_query,
     "op7_source_mixing": mixing.op7_query,
+    "op10_token_counts": token_counts.op10_query,
 }
 
 SQL: dict[str, str] = {
