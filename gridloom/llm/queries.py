@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts
+from . import html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_query,
     "op6_quality_rules": quality_rules.op6_query,
     "op7_source_mixing": mixing.op7_query,
+    "op8_html_extraction": html_extract.op8_query,
     "op10_token_counts": token_counts.op10_query,
 }
 
