@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts
+from . import html_extract, license_scan, mixing, nn_descent, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_query,
     "op7_source_mixing": mixing.op7_query,
     "op8_html_extraction": html_extract.op8_query,
+    "op9_nn_descent": nn_descent.op9_query,
     "op10_token_counts": token_counts.op10_query,
 }
 
