@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from ..storage import shared_folder, stored
+
+__all__ = ["n_words_of", "shared_folder", "stored", "words_of"]
 
 #: Words are runs of anything but ASCII white space; all operators count them so.
 SPACES = "\t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text):
     """The words of a text column as an array; a null text has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
-from .components import connected_components
+from ..functions.components import connected_components
 
 #: Neighbours in a list, rounds at most, and the audit: queries and the recall that ends the rounds.
 NEIGHBOURS = 12

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
-from .components import connected_components
+from ..functions.components import connected_components
 
 #: Buckets with more distinct fingerprints are dealt out again by a second set of masks.
 LARGE_BUCKET = 1500
