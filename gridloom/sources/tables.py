@@ -52,13 +52,13 @@ def event_raster(spark: SparkSession, sf_dir: str) -> Grid:
 
 
 def event_channels(spark: SparkSession, sf_dir: str) -> Grid:
-    """(c, t, x): the event raster of each event type, types in order of name."""
+    """(c, y, x): the event raster of each event type (y the hour), types in order of name."""
     t = _table(spark, sf_dir, "events")
     names = [r[0] for r in t.select("event_type").distinct().orderBy("event_type").collect()]
     c = F.array_position(F.array(*map(F.lit, names)), F.col("event_type")) - 1
-    rows = t.select(c.cast("long").alias("c"), _hour().alias("t"), (F.col("user_id") % LANES).alias("x"), F.round("value", 4).alias("v"))
-    rows = rows.where((F.col("t") >= 0) & (F.col("t") < HOURS))
-    return Grid(dense(rows, {"c": len(names), "t": HOURS, "x": LANES}), ArrayMeta(("c", "t", "x"), (len(names), HOURS, LANES), "float64", (1, 64, 32)))
+    rows = t.select(c.cast("long").alias("c"), _hour().alias("y"), (F.col("user_id") % LANES).alias("x"), F.round("value", 4).alias("v"))
+    rows = rows.where((F.col("y") >= 0) & (F.col("y") < HOURS))
+    return Grid(dense(rows, {"c": len(names), "y": HOURS, "x": LANES}), ArrayMeta(("c", "y", "x"), (len(names), HOURS, LANES), "float64", (1, 64, 32)))
 
 
 def shipping_volume(spark: SparkSession, sf_dir: str) -> Grid:
