@@ -6,8 +6,8 @@ Work is dealt out by content, so that equal strings meet whatever documents hold
    one anchor form a run; equal windows have equal anchors, so they sit in runs of one anchor (a class).
 2. Runs equal in all their bytes are counted together before anything is shuffled by class: a run that occurs twice is
    repeated as a whole, a class with one text needs no more work.
-3. Classes with several texts, and a run seen once, are the shards' load: their texts, each once, are sorted by induced
-   sorting, and permuted common prefixes tell which windows repeat. Shards hold whole classes and about ``shard_bytes``.
+3. Classes with several texts, and a run seen once, are the shards' load: those of their texts, each taken once, that share
+   the core of some block of windows with another are sorted by induced sorting, and permuted common prefixes tell which windows repeat. Shards hold whole classes and about ``shard_bytes``.
 4. A class with more than ``large`` texts would outgrow a shard. Its windows are matched in blocks of 16 starts by
    what all windows of the block share, and only where that repeats window by window, all by counting.
 """
@@ -28,6 +28,8 @@ from .suffix_sort import repeated_starts
 SPAN = 400
 ANCHOR = 32
 BLOCK = 16
+#: Starts in the blocks by which a small class is sifted before it is sorted.
+WIDE = 64
 LARGE = 1000
 SHARD_BYTES = 1_000_000
 #: Documents are hashed together up to so many bytes.
@@ -133,7 +135,8 @@ def _runs(span: int, anchor: int):
             base = (np.cumsum(sizes) - sizes)[doc]
             rows = pa.array(doc + row)
             keys = [batch.column(c).take(rows) for c in ("k", "th")]
-            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array(whole.view(np.int64)), *keys, pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32)), pa.array((p - base).astype(np.int32))], names=["cls", "whole", "k", "th", "s", "e", "p"])
+            place = (s - base << 32) | (e - s << 16) | (p - s)  # the run's start, its last window and its anchor
+            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array(whole.view(np.int64)), *keys, pa.array(place)], names=["cls", "whole", "k", "th", "place"])
 
     return run
 
@@ -165,23 +168,24 @@ def _sorted_shards(span: int, shard_bytes: int):
     return run
 
 
-_RANGES = pa.schema([(c, pa.int64()) for c in ("k", "th", "a", "b")])
+_RANGES = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _blocks(span: int):
     """Cut runs into blocks of windows, placed by the anchor: what a block's windows share, and all its bytes, hashed."""
+    block = max(1, min(BLOCK, span // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 hashes, n = Hashes(np.frombuffer(r["bytes"], np.uint8)), r["e"] - r["s"] + 1
-                lead = (r["s"] - r["p"]) % BLOCK  # the first window's place in its block
-                x = np.r_[0, np.arange(BLOCK - lead, n, BLOCK)]
+                lead = (r["s"] - r["p"]) % block  # the first window's place in its block
+                x = np.r_[0, np.arange(block - lead, n, block)]
                 y = np.r_[x[1:], n] - 1
-                core = np.maximum(x + BLOCK - 1 - np.where(x == 0, lead, 0), 0)
-                cls = hashes.of(core, core + span - BLOCK + 1)
+                core = np.maximum(x + block - 1 - np.where(x == 0, lead, 0), 0)
+                cls = hashes.of(core, core + span - block + 1)
                 whole = _mixed(hashes.of(x, y + span) + (y - x).astype(np.uint64) + np.where(x == 0, lead, 0).astype(np.uint64) * np.uint64(1 << 20))
-                same = [pa.array(np.full(len(x), r[c], np.int64)) for c in ("k", "th", "s", "n")]
+                same = [pa.array(np.full(len(x), r[c]), t) for c, t in (("k", pa.int64()), ("th", pa.int32()), ("s", pa.int64()), ("n", pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array(whole.view(np.int64)), *same, pa.array(x + r["s"]), pa.array(y + r["s"])], names=["cls", "whole", "k", "th", "s", "n", "x", "y"])
 
     return run
@@ -194,7 +198,7 @@ def _windows(span: int):
                 h = Hashes(np.frombuffer(r["bytes"], np.uint8)).each(span)
                 for b in r["blocks"]:
                     at = np.arange(b["x"], b["y"] + 1)
-                    same = [pa.array(np.full(len(at), v, np.int64)) for v in (r["k"], r["th"], b["n"])]
+                    same = [pa.array(np.full(len(at), v), t) for v, t in ((r["k"], pa.int64()), (r["th"], pa.int32()), (b["n"], pa.int64()))]
                     yield pa.RecordBatch.from_arrays([pa.array(h[at - r["s"]].view(np.int64)), *same, pa.array(at)], names=["key", "k", "th", "n", "x"])
 
     return run
@@ -206,41 +210,64 @@ def _large_class_ranges(runs: DataFrame, span: int) -> DataFrame:
     Blocks repeat as a whole, or share what all their windows have in common with another block; only the latter
     are looked at window by window. All matching is by counting hashes, so that no class meets in one task.
     """
-    blocks = stored(runs.mapInArrow(_blocks(span), "cls long, whole long, k long, th long, s long, n long, x long, y long"), "blocks")
+    blocks = stored(runs.mapInArrow(_blocks(span), "cls long, whole long, k long, th int, s long, n long, x long, y long"), "blocks")
     texts = blocks.groupBy("cls", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("k", "th", "s", "x", "y")).alias("one"))
     texts = stored(texts, "block-texts")
     whole = blocks.where("n = 1").join(texts.where("n > 1").select("cls", "whole"), ["cls", "whole"], "left_semi").select("k", "th", F.col("x").alias("a"), (F.col("y") + span).alias("b"))
     classes = texts.groupBy("cls").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("texts > 1 and least = 1").select("cls")
     live = texts.join(classes, "cls").select("one.*", "n").groupBy("k", "th", "s").agg(F.collect_list(F.struct("x", "y", "n")).alias("blocks"))
-    each = runs.select("k", "th", "s", "bytes").join(live, ["k", "th", "s"]).select("k", "th", "s", "bytes", "blocks").mapInArrow(_windows(span), "key long, k long, th long, n long, x long")
+    each = runs.select("k", "th", "s", "bytes").join(live, ["k", "th", "s"]).select("k", "th", "s", "bytes", "blocks").mapInArrow(_windows(span), "key long, k long, th int, n long, x long")
     each = stored(each, "windows")
     twice = each.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     single = each.where("n = 1").join(twice, "key", "left_semi").select("k", "th", F.col("x").alias("a"), (F.col("x") + span).alias("b"))
     return whole.unionByName(single)
 
 
+def _cores(span: int):
+    """What the windows of each block of a text share, hashed: ``core``, and the text's ``place``."""
+    wide = max(1, min(WIDE, span // 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("bytes")]
+            base = np.cumsum([len(x) for x in parts]) - [len(x) for x in parts]
+            s, e, p = (batch.column(c).to_numpy() for c in ("s", "e", "p"))
+            lead = (s - p) % wide
+            blocks = (e - s + lead) // wide + 1
+            row = np.repeat(np.arange(len(parts)), blocks)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            start = base[row] + nth * wide - lead[row]  # of the whole block; it may begin before the text does
+            core = Hashes(np.concatenate(parts)).of(start + wide - 1, start + span)
+            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("cls", "k", "th", "place"))], names=["core", "cls", "k", "th", "place"])
+
+    return run
+
+
 def repeated_ranges(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``k``, ``th``, ``a``, ``b``: byte ranges, which may overlap, that together are all bytes to remove.
 
     ``docs`` has ``k``, ``th`` (an id and the text's hash, neither null; rows equal in both are copies) and ``text``
     (binary).
     """
-    runs = stored(docs.mapInArrow(_runs(span, min(ANCHOR, span)), "cls long, whole long, k long, th long, s int, e int, p int"), "runs")
-    texts = runs.groupBy("cls", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "s", "e", "p")).alias("one"))
-    texts = stored(texts, "texts")
-    classes = stored(texts.groupBy("cls").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("texts > 1 and least = 1"), "classes")
-    whole = runs.join(texts.where("n > 1").select("cls", "whole"), ["cls", "whole"], "left_semi").select("k", "th", F.col("s").cast("long").alias("a"), (F.col("e") + span).cast("long").alias("b"))
-    mixed = texts.join(classes.select("cls", "texts"), "cls").select("cls", "texts", "n", "one.*")
-
-    def cut(chosen: DataFrame) -> DataFrame:
-        wanted = chosen.groupBy("k", "th").agg(F.collect_list(F.struct("cls", "n", "s", "e", "p")).alias("runs"))
-        each = docs.join(wanted, ["k", "th"]).select("k", "th", "text", F.explode("runs").alias("r"))
-        return each.select("k", "th", "r.*", F.expr(f"substring(text, r.s + 1, r.e - r.s + {span})").alias("bytes"))
-
-    load = cut(mixed.where(f"texts <= {large}")).select("cls", "bytes", "k", "th", "s", "n")
-    out = whole.unionByName(load.repartition("cls").sortWithinPartitions("cls").mapInArrow(_sorted_shards(span, shard_bytes), "k long, th long, a long, b long"))
-    if not classes.where(f"texts > {large}").isEmpty():
-        out = out.unionByName(_large_class_ranges(stored(cut(mixed.where(f"texts > {large}")), "large"), span))
+    runs = stored(docs.mapInArrow(_runs(span, min(ANCHOR, span)), "cls long, whole long, k long, th int, place long"), "runs")
+    texts = stored(runs.groupBy("cls", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "place")).alias("one")), "texts")
+    s, e, p = (F.expr(x) for x in ("shiftright(place, 32)", "shiftright(place, 32) + (shiftright(place, 16) & 65535)", "shiftright(place, 32) + (place & 65535)"))
+    whole = runs.join(texts.where("n > 1").select("cls", "whole"), ["cls", "whole"], "left_semi").select("k", "th", s.alias("a"), (e + span).alias("b"))
+    classes = texts.groupBy("cls").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("texts > 1 and least = 1")
+    wanted = texts.join(classes.select("cls", "texts"), "cls").groupBy("one.k", "one.th").agg(F.collect_list(F.struct("cls", "texts", "n", "one.place")).alias("runs"))
+    cut = docs.join(wanted, ["k", "th"]).select("k", "th", "text", F.explode("runs").alias("r")).select("k", "th", "text", "r.*", *(x.alias(c) for x, c in zip((s, e, p), "sep", strict=True)))
+    cut = stored(cut.select("cls", "texts", "n", "k", "th", "place", "s", "e", "p", F.expr(f"substring(text, cast(s + 1 as int), cast(e - s + {span} as int))").alias("bytes")), "cut")
+    # a window can only repeat where what its block shares does: that spares most texts of a class the sorting
+    small = cut.where(f"texts <= {large}")
+    cores = small.select("cls", "k", "th", "place", "s", "e", "p", "bytes").mapInArrow(_cores(span), "core long, cls long, k long, th int, place long")
+    met = cores.groupBy("core", "cls").agg(F.count("*").alias("n")).where("n > 1").select("core", "cls")
+    live = cores.join(met, ["core", "cls"], "left_semi").select("k", "th", "place").distinct()
+    load = small.join(live, ["k", "th", "place"], "left_semi").select("cls", "bytes", "k", "th", "s", "n")
+    out = whole.unionByName(load.repartition("cls").sortWithinPartitions("cls").mapInArrow(_sorted_shards(span, shard_bytes), "k long, th int, a long, b long"))
+    if not cut.where(f"texts > {large}").isEmpty():
+        out = out.unionByName(_large_class_ranges(cut.where(f"texts > {large}"), span))
     return out
 
 
@@ -279,7 +306,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
-    keyed = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
+    keyed = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.hash(text).alias("th"), text.alias("text"))
     ranges = repeated_ranges(keyed.select("k", "th", "text"), span, large, shard_bytes)
     ranges = ranges.groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     row = keyed.schema["row"].dataType.simpleString()
