@@ -91,7 +91,7 @@ def _rechunked(s, d):
     return Grid(g.df, replace(g.meta, chunk=(50, 16)))
 
 
-_BLOCKS = f"""b as (select i.y, i.x, i.v, k.b as by, l.b as bx, k.b * 50 as sy, least((select max(vec_id) + 1 from embeddings), k.b * 50 + 50) as ty, l.b * 16 as sx, l.b * 16 + 16 as tx
+_BLOCKS = f"""b as (select i.y, i.x, i.v, k.b as ky, l.b as kx, k.b * 50 as sy, least((select max(vec_id) + 1 from embeddings), k.b * 50 + 50) as ty, l.b * 16 as sx, l.b * 16 + 16 as tx
  from img i join range(0, 1000) k(b) on i.y >= k.b * 50 - 4 and i.y < k.b * 50 + 54 and k.b * 50 <= (select max(vec_id) from embeddings)
  join range(0, 4) l(b) on i.x >= l.b * 16 - 4 and i.x < l.b * 16 + 20)"""
 _TENT = "greatest(0, least(1, 1 - greatest({s} - {c}, {c} - ({t} - 1), 0) / 5.0))"
@@ -99,7 +99,7 @@ _RAMP = "least({c} - greatest(0, {s} - 4) + 0.5, least({n}, {t} + 4) - {c} - 0.5
 _NY = "(select max(vec_id) + 1 from embeddings)"
 for _name, _w in {"overlap_tent": _TENT, "overlap_ramp": _RAMP}.items():
     _weight = _w.format(s="sy", t="ty", c="y", n=_NY) + " * " + _w.format(s="sx", t="tx", c="x", n="64")
-    query(_name, with_(IMAGE, _BLOCKS, f"w as (select y, x, v + by * 0.1 + bx as v, {_weight} as w from b)") + f"select y, x, {r6('sum(v * w) / sum(w)')} from w group by y, x")(
+    query(_name, with_(IMAGE, _BLOCKS, f"w as (select y, x, v + ky * 0.1 + kx as v, {_weight} as w from b)") + f"select y, x, {r6('sum(v * w) / sum(w)')} from w group by y, x")(
         lambda s, d, k=_name.split("_")[1]: overlap.blend(_rechunked(s, d), 4, k, lambda b: b.withColumn("v", F.col("v") + F.col("b_y") * 0.1 + F.col("b_x")))
     )
 

@@ -51,6 +51,6 @@ def octree_nodes(mask: Grid, size: int, levels: int) -> DataFrame:
     """Nodes of each level that hold surface, in Z-order: ``level``, ``order``, node coordinates and voxels of surface."""
     band = surface_band(mask)
     each = band.select(*mask.axes, F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    at = [F.floor(F.col(a) / (F.lit(size) * F.shiftleft(F.lit(1), F.col("level")))).cast("long").alias(a) for a in mask.axes]
+    at = [F.floor(F.col(a) / (F.lit(size) * F.expr("shiftleft(1, level)"))).cast("long").alias(a) for a in mask.axes]
     nodes = each.select("level", *at).groupBy("level", *mask.axes).agg(F.count("*").alias("surface"))
     return nodes.select("level", morton([F.col(a) for a in mask.axes], 16).alias("order"), *mask.axes, "surface")
