@@ -133,6 +133,8 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def audit(graph: DataFrame, nodes: DataFrame, threshold: float, queries: int = AUDITED) -> tuple[int, int]:
     """Links of a bounded sample of vectors by brute force, and how many of them the graph's components join."""
     asked = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+    if not asked:
+        return 0, 0
     ids = np.array([r["id"] for r in asked], np.int64)
     x = np.array([r["v"] for r in asked]).reshape(len(ids), -1)
     shared = nodes.sparkSession.sparkContext.broadcast((ids, x))  # `queries` vectors at most

@@ -27,6 +27,7 @@ REACH = 2
 #: At most so many labelled rows are fitted on; the rows with the smallest hashes of their ids, so that reruns agree.
 SAMPLE = 20_000
 HIDDEN = 32
+FEATURES = 2 * DIM + 4
 
 #: A token is a run of letters, of digits, or of other signs.
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -118,7 +119,7 @@ def pooled(text: str, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A text's features: weighted mean and spread of its word vectors, likeness of neighbours, and length."""
     vectors, weights = table
     b = _tokens(text)
-    out = np.zeros(2 * DIM + 4, np.float32)
+    out = np.zeros(FEATURES, np.float32)
     if not len(b):
         out[-1] = 1
         return out
@@ -157,7 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, seed
     rng = np.random.default_rng(seed)
     x, y = x.astype(np.float64), y.astype(np.float64)
     if not len(x):
-        x, y = np.zeros((1, 2 * DIM + 4)), np.ones(1)
+        x, y = np.zeros((1, FEATURES)), np.ones(1)
     order = rng.permutation(len(x))
     own, aside = order[len(x) // 5 :], order[: len(x) // 5]
     mean, scale = x[own].mean(0), x[own].std(0) + 1e-3
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, table: tuple[np.ndarray, np.ndarra
 
     got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<float>").limit(2 * sample).collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    return fit(np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got]))
+    return fit(np.array([r["x"] for r in got]).reshape(len(got), FEATURES), np.array([r["y"] for r in got]))
 
 
 def score(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], net: Network) -> DataFrame:
@@ -208,7 +209,7 @@ def score(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], net: Network) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, net = shared.value
         for batch in batches:
-            x = np.array([pooled(text_of(t), table) for t in batch.column("text")]).reshape(len(batch), -1)
+            x = np.array([pooled(text_of(t), table) for t in batch.column("text")]).reshape(len(batch), FEATURES)
             s = net.score(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
