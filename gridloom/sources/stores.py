@@ -216,3 +216,17 @@ def _there(spark: SparkSession, path: str) -> bool:
 def empty_chunks(grid: Grid) -> DataFrame:
     """Chunks that a write would leave out."""
     return chunk_summary(grid).where("filled = 0").drop("total", "voxels", "filled")
+
+
+def chunk_sizes(spark: SparkSession, path: str, low: float = 0.0, high: float = 1.0) -> Grid:
+    """One voxel a chunk: its stored size over its raw size, from ``low`` to ``high`` onto 0 to 255. Files are listed, not read."""
+    meta, form, _ = describe(spark, path)
+    known = {chunk_key(i, meta, form): i for i in product(*meta.chunks_covering(meta.box))}
+    depth = next(iter(known)).count("/") + 1
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", "/", -depth).alias("key"), F.col("length"))
+    raw = float(np.dtype(meta.dtype).itemsize * np.prod(meta.chunk))
+    wanted = spark.createDataFrame([(k, *i) for k, i in known.items()], "key string, " + ", ".join(f"{a} long" for a in meta.axes))
+    share = (F.coalesce("length", F.lit(0)) / raw - low) / (high - low) * 255
+    df = wanted.join(files, "key", "left").select(*meta.axes, F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), share))).cast("long").alias("v"))
+    shape = tuple(-(-n // c) for n, c in zip(meta.shape, meta.chunk, strict=True))
+    return Grid(df, ArrayMeta(meta.axes, shape, "uint8", voxel_size=tuple(v * c for v, c in zip(meta.voxel_size, meta.chunk, strict=True))))

@@ -146,3 +146,49 @@ def test_refusals(spark, noise):
     for bad in (lambda: axes.select(g, {"y": 1}), lambda: axes.flip(g, ["q"]), lambda: axes.stack([g]), lambda: axes.keep_levels([g], [1]), lambda: aggregate.downsample(g, 2, "median"), lambda: Spec.of({"source": "a", "ops": [{"op": "none"}]})):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_fits_find_what_was_done(spark):
+    from gridloom.operators import fitting
+
+    rng = np.random.default_rng(2)
+    p = rng.random((60, 2)) * 100
+    a = np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]])
+    q = p @ a.T + [5, -3]
+    df = spark.createDataFrame(pd.DataFrame({"p_y": p[:, 0], "p_x": p[:, 1], "q_y": q[:, 0], "q_x": q[:, 1]}))
+    for model in ("rigid", "affine"):
+        got = fitting.fit(df, ("y", "x"), model)
+        assert np.allclose(got.matrix, a, atol=1e-6) and np.allclose(got.offset, [5, -3], atol=1e-5)
+    bad = df.unionByName(spark.createDataFrame([(0.0, 0.0, 90.0, 90.0)] * 5, df.schema))
+    model, n = fitting.robust_fit(bad, ("y", "x"), Affine.of(a, [5.2, -3.1]), "affine", 2.0)
+    assert n == 60 and np.allclose(model.offset, [5, -3], atol=1e-5)
+    with pytest.raises(ValueError):
+        fitting.fit(df.limit(1), ("y", "x"), "affine")
+    placed = fitting.place_tiles([(0, 1, np.array([1.0, 2.0]), 1.0), (1, 2, np.array([1.0, 0.0]), 1.0), (0, 2, np.array([2.3, 2.0]), 1.0)], [0, 1, 2, 3])
+    assert np.allclose(placed[0], 0) and np.allclose(placed[2], [2.2, 2.0]) and np.allclose(placed[3], 0)
+
+
+def test_code_in_specs(spark, noise):
+    from gridloom.operators.code import python_op
+
+    op = python_op("twice", "#halo 1\ndef apply(block, k=2):\n    return block * k\n", allow_code=True)
+    assert np.allclose(array(op.apply(grid(spark, noise, (5, 6)), k=3, old=1)), noise * 3) and op.halo({}, grid(spark, noise).meta) == (1, 1)
+    with pytest.raises(PermissionError):
+        python_op("x", "def apply(b): return b")
+    for bad in ("def apply(:", "x = 1", "#halo 5000\ndef apply(b): return b"):
+        with pytest.raises(ValueError):
+            python_op("x", bad, allow_code=True)
+
+
+def test_chunk_sizes(spark, tmp_path, noise):
+    stores.write(grid(spark, noise, (5, 6)), f"file://{tmp_path}/s", "zarr3", "none")
+    assert (array(stores.chunk_sizes(spark, f"file://{tmp_path}/s")) == 255).all()
+
+
+def test_affine_by_moments_undoes_a_shift(spark):
+    y, x = np.mgrid[:24, :28]
+    blob = lambda cy, cx: 100 * np.exp(-((y - cy) ** 2 / 18 + (x - cx) ** 2 / 50)) + 60 * np.exp(-((y - cy - 3) ** 2 + (x - cx - 4) ** 2) / 6)
+    from gridloom.operators.fitting import affine_by_moments
+
+    t, score = affine_by_moments(grid(spark, blob(11, 12)), grid(spark, blob(13, 15)))
+    assert score > 0.95 and np.allclose(np.array(t.matrix) @ [11, 12] + t.offset, [13, 15], atol=1.0)
