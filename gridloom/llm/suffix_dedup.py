@@ -271,32 +271,37 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard
     return out
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their ranges: sizes, spans and what is left."""
-    for batch in batches:
-        texts, ranges = batch.column("text"), batch.column("ranges")
-        removed, spans, left = [], [], []
-        for i in range(len(batch)):
-            data = memoryview(texts[i].as_buffer()) if texts[i].is_valid else memoryview(b"")
-            if ranges[i].is_valid:
-                flat = ranges[i].values
-                a, b = (np.asarray(flat.field(j), np.int64) for j in (0, 1))
-                order = np.lexsort((b, a))
-                a, b = a[order], np.maximum.accumulate(b[order])
-                new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])  # touching runs are one
-                a, b = a[new], b[np.r_[new[1:], len(b)] - 1]
-                parts = [data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)]
-                removed.append(int((b - a).sum()))
-                spans.append(len(a))
-                left.append(b"".join(parts))
-            else:
-                removed.append(0)
-                spans.append(0)
-                left.append(bytes(data))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _kept(whole_characters: bool):
+    """Texts without their ranges: sizes, spans and what is left, without halves of characters if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ranges = batch.column("text"), batch.column("ranges")
+            removed, spans, left = [], [], []
+            for i in range(len(batch)):
+                data = memoryview(texts[i].as_buffer()) if texts[i].is_valid else memoryview(b"")
+                if ranges[i].is_valid:
+                    flat = ranges[i].values
+                    a, b = (np.asarray(flat.field(j), np.int64) for j in (0, 1))
+                    order = np.lexsort((b, a))
+                    a, b = a[order], np.maximum.accumulate(b[order])
+                    new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])  # touching runs are one
+                    a, b = a[new], b[np.r_[new[1:], len(b)] - 1]
+                    parts = [data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)]
+                    removed.append(int((b - a).sum()))
+                    spans.append(len(a))
+                    rest = b"".join(parts)
+                    left.append(rest.decode("utf-8", "ignore").encode() if whole_characters else rest)
+                else:
+                    removed.append(0)
+                    spans.append(0)
+                    left.append(bytes(data))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_bytes: int = SHARD_BYTES, whole_characters: bool = False) -> DataFrame:
     """``row`` (the input row as a struct, without text), ``n_removed``, ``n_spans`` and ``kept`` (bytes) per input row.
 
     A byte goes when a string of ``span`` bytes over it also starts anywhere else, in any row's text, judged on the
@@ -310,7 +315,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_
     ranges = repeated_ranges(keyed.select("k", "th", "text"), span, large, shard_bytes)
     ranges = ranges.groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     row = keyed.schema["row"].dataType.simpleString()
-    return keyed.join(ranges, ["k", "th"], "left").select("row", "text", "ranges").mapInArrow(_kept, f"row {row}, n_removed long, n_spans long, kept binary")
+    return keyed.join(ranges, ["k", "th"], "left").select("row", "text", "ranges").mapInArrow(_kept(whole_characters), f"row {row}, n_removed long, n_spans long, kept binary")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
@@ -320,7 +325,7 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with texts cut: columns and types as they were. Bytes that a cut left as half a character are dropped."""
-    out = remove_repeats(docs, span)
-    text = F.decode(F.col("kept"), "UTF-8")
+    """``docs`` with texts cut: columns and types as they were. Half characters at a cut go, too."""
+    out = remove_repeats(docs, span, whole_characters=True)
+    text = F.col("kept").cast("string")
     return out.select(*[text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns])
