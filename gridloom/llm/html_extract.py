@@ -42,6 +42,8 @@ _FURNITURE = re.compile(
 )
 #: A token is of the template where at least so large a part of the host's pages hold it.
 SHARE = 0.5
+#: Templates of all hosts are sent to every task up to so many characters.
+BROADCAST = 8_000_000
 #: Text counts as template only on hosts with so many pages.
 LEAST_PAGES = 4
 
@@ -247,7 +249,11 @@ def extract(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAG
     Repeated rows are pages of their own; further columns are not read; an empty table gives an empty one.
     """
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"))
-    chosen = templates(keyed.select("host", "page", "html"), share, least_pages)
+    chosen = stored(templates(keyed.select("host", "page", "html"), share, least_pages), "templates")
+    text = F.length(F.concat_ws("", "containers")) + F.length(F.concat_ws("", "fixed")) + F.length("host")
+    size = chosen.agg(F.sum(text)).first()[0] or 0
+    if size <= BROADCAST:  # else pages meet their templates by a shuffle on the host, whose skew Spark splits
+        chosen = F.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[list[str], set[str]]] = {}
