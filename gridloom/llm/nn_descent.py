@@ -1,8 +1,8 @@
 """Embedding near-dedup by NN-descent.
 
 A graph of each vector's nearest neighbours is refined by joins with the neighbours' neighbours until an audit against brute
-force finds it complete. Lists that are full of links are enlarged: to their component's vectors, compared block by block, so
-that a group of any size gives counts, never pairs. Edges at or above the threshold are kept, in double precision.
+force finds it complete. Lists that are full of links are enlarged: to their component's vectors, and to those of other components
+that can be near enough, compared block by block, so that a group of any size gives counts, never pairs. Edges at or above the threshold are kept, in double precision.
 """
 
 from __future__ import annotations
@@ -130,53 +130,142 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return _top(graph.unionByName(found), k)
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float, queries: int = AUDITED) -> tuple[int, int]:
-    """Links of a bounded sample of vectors by brute force, and how many of them the graph's components join."""
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+def audit(nodes: DataFrame, parts: DataFrame, threshold: float, k: int = NEIGHBOURS, queries: int = AUDITED) -> float:
+    """The share of a vector's links, by brute force, that the components (``parts``) join: the worse of two means.
+
+    One is over vectors in components of more than ``k``, the other over those in smaller ones and in none, so that links of
+    a large group do not speak for the rest. At most ``queries`` vectors are asked of large components, of small ones, and of those in none.
+    """
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    of = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").join(sizes, "component", "left")
+    kind = F.when(F.col("size") > k, 2).when(F.col("size") > 1, 1).otherwise(0)
+    of = of.select("id", "v", F.coalesce("component", "id").alias("component"), kind.alias("kind"))
+    asked = [r for x in range(3) for r in of.where(F.col("kind") == x).orderBy(F.xxhash64("id"), "id").limit(queries).collect()]
     if not asked:
-        return 0, 0
-    ids = np.array([r["id"] for r in asked], np.int64)
+        return 1.0
+    ids, own_part = (np.array([r[c] for r in asked], np.int64) for c in ("id", "component"))
     x = np.array([r["v"] for r in asked]).reshape(len(ids), -1)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, x))  # `queries` vectors at most
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, own_part, x))  # three times `queries` vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
+        ids, own_part, x = shared.value
         for batch in batches:
-            if len(batch):
-                own = np.asarray(batch.column("id"))
-                sim = x @ _matrix(batch.column("v")).T
-                q, o = np.nonzero((sim >= threshold) & (ids[:, None] != own[None, :]))
-                yield _edges(ids[q], own[o], sim[q, o])
-
-    truth = nodes.mapInArrow(run, "a long, b long, sim double")
-    parts = connected_components(graph.where(F.col("sim") >= threshold).select("a", "b"))
-    pa_, pb = parts.toDF("a", "ca"), parts.toDF("b", "cb")
-    joined = truth.join(pa_, "a", "left").join(pb, "b", "left")
-    row = joined.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-    return row[0], row[1]
-
-
-def neighbour_graph(nodes: DataFrame, threshold: float, k: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, queries: int = AUDITED) -> tuple[DataFrame, float]:
-    """The refined lists (``a``, ``b``, ``sim``) and the audited recall of links.
-
-    Rounds go on until the audit is satisfied; one that gains nothing doubles the lists.
+            links, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                linked = (x @ _matrix(part.column("v")).T >= threshold) & (ids[:, None] != np.asarray(part.column("id")))
+                links += linked.sum(axis=1)
+                found += (linked & (own_part[:, None] == np.asarray(part.column("component")))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(found)], names=["id", "links", "found"])
+
+    truth = of.select("id", "component", "v").mapInArrow(run, "id long, links long, found long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+    large, means = {r["id"] for r in asked if r["kind"] == 2}, {}
+    for r in truth.where("links > 0").collect():
+        means.setdefault(r["id"] in large, []).append(r["found"] / r["links"])
+    return min((float(np.mean(m)) for m in means.values()), default=1.0)
+
+
+def neighbour_graph(nodes: DataFrame, threshold: float, k: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, queries: int = AUDITED) -> tuple[DataFrame, DataFrame, float]:
+    """The refined lists (``a``, ``b``, ``sim``), the components of their links and of those they hide, and the audited recall.
+
+    Rounds go on until the audit is satisfied; one that gains nothing doubles the lists. Raises RuntimeError when
+    ``rounds`` do not suffice, rather than return links that the audit knows to be incomplete.
     """
     graph = stored(_top(first_lists(nodes, k), k), "graph")
     got = 0.0
     for _ in range(rounds):
         for _ in range(2):
             graph = stored(refine(graph, nodes, k), "graph")
-        links, found = audit(graph, nodes, threshold, queries)
-        before, got = got, found / links if links else 1.0
+        parts = linked_parts(graph, nodes, threshold, k)
+        before, got = got, audit(nodes, parts, threshold, k, queries)
         if got >= recall:
-            break
+            return graph, parts, got
         if got <= before:
             k *= 2
-    return graph, got
+    raise RuntimeError(f"recall {got:.4f} of links after {rounds} rounds, {recall} wanted")
+
+
+def linked_parts(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``node``, ``component`` over the lists' links and over those between vectors whose ``k`` entries all are links."""
+    links = graph.where(F.col("sim") >= threshold).select("a", "b")
+    parts = stored(connected_components(links), "parts")
+    full = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
+    members = stored(nodes.join(parts.withColumnRenamed("node", "id"), "id").join(full, "id").select("component", "id", "v"), "full")
+    hidden = stored(hidden_links(members, threshold), "hidden")
+    return stored(connected_components(links.unionByName(hidden)), "parts") if hidden.count() else parts
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (of ``component``) once for each pair of blocks of their component that they are in: ``key``, ``side`` (2: a block with itself)."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumn("key", F.concat_ws(":", "component", low, high)).withColumn("side", side.cast("int")).drop("blocks", "own", "other")
+
+
+def hidden_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``a``, ``b``: for every two components with links between their ``members`` (``component``, ``id``, ``v``), some of these links.
+
+    A list full of links may end before it leaves its component, so these components are searched whole. Each is a ball around one of its
+    members; a link needs balls no further apart than the threshold's angle, and its vectors no further than that from the other ball.
+    All balls are compared, block by block, and then what is left of each two components, again by blocks, each giving a link at most.
+    """
+    reach = float(np.arccos(min(max(threshold, -1.0), 1.0))) + 1e-6
+    centres = members.groupBy("component").agg(F.min_by("v", "id").alias("centre"))
+    wide = members.join(centres, "component").groupBy("component").agg(F.max(_angle(_dot(F.col("v"), F.col("centre")))).alias("radius"))
+    balls = stored(centres.join(wide, "component").select(F.col("component").alias("id"), F.col("centre").alias("v"), "radius"), "balls")
+
+    def near(part: pa.Table):
+        ids, side, radius = (np.asarray(part[c]) for c in ("id", "side", "radius"))
+        x = _matrix(part["v"].combine_chunks())
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        angle = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
+        p, q = np.nonzero((angle <= radius[left][:, None] + radius[right][None, :] + reach) & (ids[left][:, None] != ids[right][None, :]))
+        p, q = ids[left[p]], ids[right[q]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["p", "q"])
+
+    keyed = _dealt(balls.withColumn("component", F.lit(0)), 4 * block).select("key", "side", "id", "radius", "v")
+    pairs = stored(keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_by_key(near), "p long, q long").distinct(), "near")
+
+    def towards(own: str, other: str, side: int) -> DataFrame:
+        ball = balls.select(F.col("id").alias(other), F.col("v").alias("centre"), "radius")
+        met = members.join(pairs.join(ball, other), F.col("component") == F.col(own))
+        met = met.where(_angle(_dot(F.col("v"), F.col("centre"))) <= F.col("radius") + reach)
+        return met.select("p", "q", F.lit(side).alias("side"), "id", "v")
+
+    met = stored(towards("p", "q", 0).unionByName(towards("q", "p", 1)), "met")
+    blocks = lambda side: F.ceil(F.count(F.when(F.col("side") == side, 1)) / block).cast("int")
+    sizes = met.groupBy("p", "q").agg(blocks(0).alias("n0"), blocks(1).alias("n1")).where("n0 > 0 and n1 > 0")
+    placed = met.join(sizes, ["p", "q"])
+    mine, theirs = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), theirs - 1)))
+    low, high = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    keyed = placed.select(F.concat_ws(":", "p", "q", low, high).alias("key"), "side", "id", "v")
+
+    def best(part: pa.Table):
+        ids, side = np.asarray(part["id"]), np.asarray(part["side"])
+        x = _matrix(part["v"].combine_chunks())
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sim = x[left] @ x[right].T
+        p, q = np.unravel_index(sim.argmax(), sim.shape) if sim.size else (0, 0)
+        kept = slice(0, int(sim.size > 0 and sim[p, q] >= threshold))
+        return pa.RecordBatch.from_arrays([pa.array(ids[left[[p]] if sim.size else []][kept], pa.int64()), pa.array(ids[right[[q]] if sim.size else []][kept], pa.int64())], names=["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_by_key(best), "a long, b long")
 
 
-def _counts(threshold: float, block: int):
-    """Rows (``key``, ``side``, ``id``, ``mult``, ``v``) in order of ``key``: links of each row to the other side's, by multiplicity."""
+def _counts(threshold: float):
+    """Rows (``side``, ``id``, ``mult``, ``v``) of a pair of blocks: links of each row to the other side's, by multiplicity."""
 
     def solve(part: pa.Table):
         ids, mult = np.asarray(part["id"]), np.asarray(part["mult"])
@@ -191,6 +280,12 @@ def _counts(threshold: float, block: int):
             n[right] += linked.T @ mult[left]
         return pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(n)], names=["id", "n"])
 
+    return solve
+
+
+def _by_key(solve):
+    """Rows in order of ``key``: ``solve`` of each key's, as a table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
@@ -217,29 +312,35 @@ def link_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     ``members`` has ``component``, ``id``, ``mult``, ``v``. A component is parted into blocks of about ``block`` vectors, and each pair
     of blocks is one small product; a row goes to as many products as its component has blocks.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    keyed = dealt.select(F.concat_ws(":", "component", low, high).alias("key"), side.cast("int").alias("side"), "id", "mult", "v")
-    sums = keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_counts(threshold, block), "id long, n long")
+    keyed = _dealt(members, block).select("key", "side", "id", "mult", "v")
+    sums = keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_by_key(_counts(threshold)), "id long, n long")
     return sums.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, queries: int = AUDITED) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors`` (``vec_id``, ``embedding``).
 
-    Cosine in double precision; a vector that is null or zero, or holds a null or non-finite component, or has not the
-    table's commonest length, links with nothing. Equal vectors are one node with a multiplicity. Further columns are not read; an
-    empty table gives an empty one.
+    Cosine in double precision; a vector that is null or zero, or holds a null or non-finite component, links with nothing.
+    Vectors of each length are a graph of their own. Equal vectors are one node with a multiplicity. Further columns are not
+    read; an empty table gives an empty one.
     """
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    rows = rows.select("vec_id", F.when(usable(F.col("v")), F.col("v")).alias("v"))
-    common = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = stored(rows.select("vec_id", F.when(F.size("v") == (common["d"] if common else 0), F.col("v")).alias("v")), "vectors")
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"))
+    rows = stored(rows.select("vec_id", F.when(usable(F.col("v")), F.col("v")).alias("v")), "vectors")
+    classes = stored(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")), "classes")
+    sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}
+    shared = sorted(d for d, n in sizes.items() if n > 1)
+    lone = classes.where(~F.size("v").isin(shared)) if shared else classes
+    of = lone.select("v", F.col("id").alias("component_id"), (F.col("mult") - 1).alias("n_links"))
+    for d in shared:
+        of = of.unionByName(_linked(classes.where(F.size("v") == d), threshold, k, rounds, recall, queries))
+    out = rows.join(of, "v", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def _linked(classes: DataFrame, threshold: float, k: int, rounds: int, recall: float, queries: int) -> DataFrame:
+    """``v``, ``component_id``, ``n_links`` of distinct vectors (``v``, ``id``, ``mult``) of one length."""
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,15 +350,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBO
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mult"), flat, batch.column("v")], names=["id", "mult", "v", "raw"])
 
     nodes = stored(classes.select("id", "mult", "v").mapInArrow(unit, "id long, mult long, v array<double>, raw array<double>"), "nodes")
-    graph, _ = neighbour_graph(nodes.select("id", "v"), threshold, k, rounds, recall, queries)
-    parts = stored(connected_components(graph.where(F.col("sim") >= threshold).select("a", "b")), "parts")
+    _, parts, _ = neighbour_graph(nodes.select("id", "v"), threshold, k, rounds, recall, queries)
     members = nodes.join(parts, nodes["id"] == parts["node"]).select("component", "id", "mult", "v")
     counts = link_counts(members, threshold)
     of = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
-    of = of.select(F.col("raw").alias("v"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    out = rows.join(of, "v", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return of.select(F.col("raw").alias("v"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -278,6 +278,36 @@ def test_nn_descent_is_brute_force(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nn_descent_leaves_full_lists(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(640, 16))
+    x[340:640] = x[340] + 0.01 * rng.normal(size=(300, 16))  # most links of all are here
+    for at in range(0, 120, 20):  # six tight subgroups of one group, two of them hardly reached by the others
+        near = x[200] + (0.25 if at < 80 else 0.4) * rng.normal(size=16)
+        x[at : at + 20] = near + 0.01 * rng.normal(size=(20, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, [1.0, 2.0]), (701, [2.0, 4.0]), (702, [2.0, -1.0])]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6).toPandas().set_index("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    want = components([(a, b) for a, b in zip(*map(list, np.nonzero(near)), strict=True)], range(640))
+    assert near[:20, 20:120].any()
+    assert got.loc[range(640), "component_id"].tolist() == [want[i] for i in range(640)]
+    assert (got.loc[range(640), "n_links"].to_numpy() == near.sum(1) - 1).all()
+    assert got.loc[[700, 701, 702], "n_links"].tolist() == [1, 1, 0] and got.loc[701, "component_id"] == 700
+
+
+def test_nn_descent_audits_small_groups_apart(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(100, 16))
+    x[:60] = x[0] + 0.01 * rng.normal(size=(60, 16))
+    x[61] = x[60] + 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    parts = [(i, 0) for i in range(60)]
+    assert nn_descent.audit(nodes, spark.createDataFrame(parts, "node long, component long"), 0.9) == 0
+    assert nn_descent.audit(nodes, spark.createDataFrame([*parts, (60, 60), (61, 60)], "node long, component long"), 0.9) == 1
+
+
 def test_pipeline_is_its_stages_by_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
