@@ -32,12 +32,13 @@ def pieces_of(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = N
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``): each document's ids and ``end``, cut.
 
     A document longer than ``length`` is cut into pieces of it, but for the first, which takes the remainder.
-    Null and empty texts are one piece, of ``end`` alone.
+    Null and empty texts are one piece, of ``end`` alone. Texts are split at the file's added tokens, which get their own ids.
     """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)[0].encode_ordinary
+        encoding = encoder(path)[0]
+        encode = lambda text: encoding.encode(text, allowed_special="all")
         for batch in batches:
             rows, numbers, starts, lengths, crcs, values = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):

@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op4_best_fit_packing": packing.op4_query,
     "op6_quality_rules": quality_rules.oracle_sql(),
 }

@@ -144,6 +144,14 @@ def test_packing_places_every_piece_once(spark, texts):
     assert rows.sequence_id.nunique() <= 1.06 * np.ceil(rows.length.sum() / 64)
 
 
+def test_packing_splits_at_added_tokens(spark):
+    odd = ["<|endoftext|>", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>é <|endoftext", "plain"]
+    rows = packing.pack_documents(docs_of(spark, odd), 64, ids=True).toPandas()
+    plain = Tokenizer.from_file(default_tokenizer())
+    for i, t in enumerate(odd):
+        assert [x for ids in rows[rows.doc_id == i].sort_values("piece").ids for x in ids] == plain.encode(t, add_special_tokens=False).ids + [0]
+
+
 def test_packing_is_near_its_bound():
     h = Counter((np.random.default_rng(1).lognormal(6, 1, 20000).astype(int) % 2048 + 1).tolist())
     made = packing.sequences(h, 2048)

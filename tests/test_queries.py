@@ -37,6 +37,10 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
 def test_stream_agrees_with_the_table(spark, tmp_path):
     from pyspark.sql import functions as F
 
