@@ -41,6 +41,12 @@ def test_oracles_are_sql():
     assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
 
 
+def test_nearest_points_takes_all_orders(spark):
+    o = spark.read.parquet(f"{DIR}/orders.parquet").toPandas()
+    got = catalogue.QUERIES["nearest_points"](spark, DIR).toPandas()
+    assert set(got.id) == set(o.o_orderkey)
+
+
 def test_stream_agrees_with_the_table(spark, tmp_path):
     from pyspark.sql import functions as F
 
