@@ -22,8 +22,8 @@ from ..functions.components import connected_components
 LARGE_BUCKET = 1500
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id``, ``fp`` (long, the 64 bits): bit set where it is set in over half of the shingles' XXH64.
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``fp`` (long, the 64 bits), and columns (long) to take ``also``: bit set where it is set in over half of the shingles' XXH64.
 
     A-Z are lower-cased, words are runs of non-space, shingles count as often as they occur; a text with fewer words
     is one shingle, one without words (or null) has fingerprint zero.
@@ -38,9 +38,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 raw = texts[i].as_py()
                 if raw:
                     out[i] = _fingerprint(raw.encode("utf-8", "surrogatepass").lower().split(), shingle, seed, digest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64)), *(batch.column(c) for c in also)], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def _fingerprint(words: list[bytes], shingle: int, seed: int, digest) -> int:
@@ -141,20 +141,25 @@ def _forests(radius: int):
     return run
 
 
+def _groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``group`` (the component's smallest fingerprint) of distinct fingerprints."""
+    parts = connected_components(fingerprint_links(nodes.select("fp"), radius)).toDF("fp", "component")
+    return nodes.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` (smallest doc_id reachable over links of ``radius`` bits or fewer).
 
     One row per input row. Copies share a fingerprint and are one node, so their number makes no links. Null
-    and wordless texts have fingerprint zero and are linked like others; repeated ids keep their rows; further columns
-    of ``docs`` are not read; an empty table gives an empty one.
+    and wordless texts have fingerprint zero and are linked like others; repeated ids keep their rows and link nothing;
+    null ids name no component, unless there are no others in it; further columns of ``docs`` are not read; an empty table
+    gives an empty one.
     """
     fps = stored(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    links = fingerprint_links(nodes.select("fp"), radius)
-    named = links.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    parts = connected_components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    of = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = stored(_groups(nodes, radius).join(nodes, "fp"), "groups")
+    named = of.groupBy("group").agg(F.min("node").alias("component_id"))
+    return fps.join(of.join(named, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
@@ -164,7 +169,15 @@ def op3_query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each component; columns as they were."""
-    of = simhash_components(docs, radius)
-    lasting = of.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(lasting, "doc_id", "left_semi").select(docs.columns)
+    """``docs`` with exactly one row of each component, of the smallest doc_id (null last); columns as they were.
+
+    A row is known by two hashes of all its columns, and of rows equal in all of them any is taken; so rows without
+    an id, or with a repeated one, are kept or left out like others.
+    """
+    every = [c for x in docs.columns for c in (F.col(f"`{x}`"), F.col(f"`{x}`").isNull())]
+    keyed = docs.withColumn("__h1", F.xxhash64(F.lit(1), *every)).withColumn("__h2", F.xxhash64(F.lit(2), *every))
+    fps = stored(fingerprints(keyed, also=("__h1", "__h2")), "fingerprints")
+    of = _groups(stored(fps.select("fp").distinct(), "nodes"), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__h1", "__h2")).alias("first")
+    lasting = fps.join(of, "fp").groupBy("group").agg(first).select("first.__h1", "first.__h2")
+    return keyed.dropDuplicates(["__h1", "__h2"]).join(lasting, ["__h1", "__h2"], "left_semi").select(*[f"`{c}`" for c in docs.columns])

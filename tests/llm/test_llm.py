@@ -117,6 +117,18 @@ def test_simhash_is_brute_force(spark, texts):
     assert got == {i: (fps[i], want[i]) for i in fps}
 
 
+def test_one_of_each_group_stays_whatever_its_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, b), (2, c), (2, c), (2, d), (3, c), (None, a.upper()), (5, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)
+    kept = simhash_dedup.keep_one_per_group(df)
+    got = [(r["doc_id"], r["text"][:1] if r["text"] else r["text"]) for r in kept.collect()]
+    assert kept.columns == df.columns
+    assert sorted(got, key=str) == sorted([(None, "a"), (1, "b"), (2, "c"), (2, "d"), (5, None)], key=str)
+    of = {(r["fp"], r["component_id"]) for r in simhash_dedup.simhash_components(df.where("doc_id = 2")).collect()}
+    assert len(of) == 2
+
+
 def test_large_buckets_lose_no_link(spark):
     rng = random.Random(2)
     base = rng.getrandbits(64)
