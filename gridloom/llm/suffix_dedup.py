@@ -10,6 +10,9 @@ Work is dealt out by content, so that equal strings meet whatever documents hold
    the core of some block of windows with another are sorted by induced sorting, and permuted common prefixes tell which windows repeat. Shards hold whole classes and about ``shard_bytes``.
 4. A class with more than ``large`` texts would outgrow a shard. Its windows are matched in blocks of 16 starts by
    what all windows of the block share, and only where that repeats window by window, all by counting.
+
+Letters are bytes, or whole words (as 64-bit hashes): then a passage of so many words counts whatever white space parts
+them, and removed is what lies from its first word to the word after it.
 """
 
 from __future__ import annotations
@@ -27,13 +30,21 @@ from .suffix_sort import repeated_starts
 
 SPAN = 400
 ANCHOR = 32
+#: In words: the passages that a corpus keeps none of, and their short strings.
+PASSAGE = 50
+SHINGLE = 5
 BLOCK = 16
 #: Starts in the blocks by which a small class is sifted before it is sorted.
 WIDE = 64
 LARGE = 1000
 SHARD_BYTES = 1_000_000
-#: Documents are hashed together up to so many bytes.
+#: Documents are hashed together up to so many letters, and longer ones in parts of so many windows.
 CHUNK = 1 << 18
+PART = 1 << 22
+#: Bits of a place beside an anchor's hash: fixed, so that equal windows pick equal anchors in texts of any length.
+PLACE = 31
+#: ASCII white space, by byte.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -59,12 +70,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substring of ``data``, from prefix sums."""
+    """Hashes of any substring of ``data`` (bytes, or hashes of words), from prefix sums."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _powers(1 << max(10, int(len(data)).bit_length()))
+        letters = _letters()[data] if data.dtype == np.uint8 else data
         with np.errstate(over="ignore"):
-            self.sums = np.r_[np.uint64(0), (_letters()[data] * up[: len(data)]).cumsum(dtype=np.uint64)]
+            self.sums = np.r_[np.uint64(0), (letters * up[: len(data)]).cumsum(dtype=np.uint64)]
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -77,17 +89,35 @@ class Hashes:
             return _mixed((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
+def words_in(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last byte of each word of a text: runs of anything but ASCII white space."""
+    inside = np.r_[False, ~_SPACE[raw], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_letters(raw: np.ndarray) -> np.ndarray:
+    """A text's words as 64-bit hashes."""
+    start, stop = words_in(raw)
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # bounded scratch for very long texts
+        end = max(at + 1, int(np.searchsorted(stop, start[at] + PART)))
+        base = start[at]
+        out[at:end] = Hashes(raw[base : stop[end - 1]]).of(start[at:end] - base, stop[at:end] - base)
+        at = end
+    return out
+
+
 def runs_of(data: np.ndarray, sizes: np.ndarray, span: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor, in documents of ``sizes`` laid end to end in ``data``.
 
     Returns for each run: its document's number, the first and the last window's start and the anchor's (in ``data``), the
     anchor's hash and the hash of all the run's bytes and of the anchor's place in it.
     """
-    n = len(data)
     hashes = Hashes(data)
     h = hashes.each(anchor)
-    bits = np.uint64(max(1, n.bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = (np.uint64(1) << np.uint64(PLACE)) - np.uint64(1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the leftmost
     width, want = 1, span - anchor + 1
     while width * 2 <= want:
@@ -112,28 +142,35 @@ def runs_of(data: np.ndarray, sizes: np.ndarray, span: int, anchor: int) -> tupl
     return doc, s, e, p, h[p], whole
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: str):
-    """Rows of ``column`` as bytes, in groups of about CHUNK bytes: (batch, first row, arrays)."""
-    for batch in batches:
-        texts, group, first, held = batch.column(column), [], 0, 0
-        for i in range(len(texts)):
-            raw = texts[i].as_buffer() if texts[i].is_valid else None
-            group.append(np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8))
-            held += len(group[-1])
-            if held >= CHUNK or i + 1 == len(texts):
-                yield batch, first, group
-                group, first, held = [], i + 1, 0
+def _letters_of(raw, kind: type) -> np.ndarray:
+    return np.frombuffer(raw, kind) if raw is not None and len(raw) else np.zeros(0, kind)
 
 
-def _runs(span: int, anchor: int):
+def _chunks(batches: Iterator[pa.RecordBatch], kind: type, span: int):
+    """Texts as letters, in groups of about CHUNK: (batch, rows, first letters, arrays); texts over PART windows in parts."""
+    for batch in batches:
+        texts, group, held = batch.column("text"), [], 0
+        for i in range(len(texts)):
+            data = _letters_of(texts[i].as_buffer() if texts[i].is_valid else None, kind)
+            for at in range(0, max(1, len(data) - span + 1), PART):
+                group.append((i, at, data[at : at + PART + span - 1]))
+                held += len(group[-1][2])
+                if held >= CHUNK:
+                    yield batch, *zip(*group, strict=True)
+                    group, held = [], 0
+        if group:
+            yield batch, *zip(*group, strict=True)
+
+
+def _runs(span: int, anchor: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, row, group in _chunks(batches, "text"):
+        for batch, rows, begin, group in _chunks(batches, kind, span):
             sizes = np.array([len(g) for g in group])
             if sizes.max() < span:
                 continue
             doc, s, e, p, cls, whole = runs_of(np.concatenate(group), sizes, span, anchor)
-            base = (np.cumsum(sizes) - sizes)[doc]
-            rows = pa.array(doc + row)
+            base = (np.cumsum(sizes) - sizes - np.array(begin))[doc]
+            rows = pa.array(np.array(rows)[doc])
             keys = [batch.column(c).take(rows) for c in ("k", "th")]
             place = (s - base << 32) | (e - s << 16) | (p - s)  # the run's start, its last window and its anchor
             yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array(whole.view(np.int64)), *keys, pa.array(place)], names=["cls", "whole", "k", "th", "place"])
@@ -141,11 +178,11 @@ def _runs(span: int, anchor: int):
     return run
 
 
-def _sorted_shards(span: int, shard_bytes: int):
+def _sorted_shards(span: int, shard_bytes: int, kind: type):
     """Rows sorted by class in, repeated windows' byte ranges out."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        starts = repeated_starts([np.frombuffer(r[1], np.uint8) for r in rows], span)
+        starts = repeated_starts([np.frombuffer(r[1], kind) for r in rows], span)
         out: list[tuple] = []
         for (_, _, k, th, s, n), at in zip(rows, starts, strict=True):
             if n == 1 and len(at):
@@ -171,14 +208,14 @@ def _sorted_shards(span: int, shard_bytes: int):
 _RANGES = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _blocks(span: int):
+def _blocks(span: int, kind: type):
     """Cut runs into blocks of windows, placed by the anchor: what a block's windows share, and all its bytes, hashed."""
     block = max(1, min(BLOCK, span // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                hashes, n = Hashes(np.frombuffer(r["bytes"], np.uint8)), r["e"] - r["s"] + 1
+                hashes, n = Hashes(np.frombuffer(r["bytes"], kind)), r["e"] - r["s"] + 1
                 lead = (r["s"] - r["p"]) % block  # the first window's place in its block
                 x = np.r_[0, np.arange(block - lead, n, block)]
                 y = np.r_[x[1:], n] - 1
@@ -191,11 +228,11 @@ def _blocks(span: int):
     return run
 
 
-def _windows(span: int):
+def _windows(span: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                h = Hashes(np.frombuffer(r["bytes"], np.uint8)).each(span)
+                h = Hashes(np.frombuffer(r["bytes"], kind)).each(span)
                 for b in r["blocks"]:
                     at = np.arange(b["x"], b["y"] + 1)
                     same = [pa.array(np.full(len(at), v), t) for v, t in ((r["k"], pa.int64()), (r["th"], pa.int32()), (b["n"], pa.int64()))]
@@ -204,26 +241,26 @@ def _windows(span: int):
     return run
 
 
-def _large_class_ranges(runs: DataFrame, span: int) -> DataFrame:
+def _large_class_ranges(runs: DataFrame, span: int, kind: type) -> DataFrame:
     """Ranges of repeated windows in runs (each text once, seen n times) of classes too large for a shard.
 
     Blocks repeat as a whole, or share what all their windows have in common with another block; only the latter
     are looked at window by window. All matching is by counting hashes, so that no class meets in one task.
     """
-    blocks = stored(runs.mapInArrow(_blocks(span), "cls long, whole long, k long, th int, s long, n long, x long, y long"), "blocks")
+    blocks = stored(runs.mapInArrow(_blocks(span, kind), "cls long, whole long, k long, th int, s long, n long, x long, y long"), "blocks")
     texts = blocks.groupBy("cls", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("k", "th", "s", "x", "y")).alias("one"))
     texts = stored(texts, "block-texts")
     whole = blocks.where("n = 1").join(texts.where("n > 1").select("cls", "whole"), ["cls", "whole"], "left_semi").select("k", "th", F.col("x").alias("a"), (F.col("y") + span).alias("b"))
     classes = texts.groupBy("cls").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("texts > 1 and least = 1").select("cls")
     live = texts.join(classes, "cls").select("one.*", "n").groupBy("k", "th", "s").agg(F.collect_list(F.struct("x", "y", "n")).alias("blocks"))
-    each = runs.select("k", "th", "s", "bytes").join(live, ["k", "th", "s"]).select("k", "th", "s", "bytes", "blocks").mapInArrow(_windows(span), "key long, k long, th int, n long, x long")
+    each = runs.select("k", "th", "s", "bytes").join(live, ["k", "th", "s"]).select("k", "th", "s", "bytes", "blocks").mapInArrow(_windows(span, kind), "key long, k long, th int, n long, x long")
     each = stored(each, "windows")
     twice = each.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     single = each.where("n = 1").join(twice, "key", "left_semi").select("k", "th", F.col("x").alias("a"), (F.col("x") + span).alias("b"))
     return whole.unionByName(single)
 
 
-def _cores(span: int):
+def _cores(span: int, kind: type):
     """What the windows of each block of a text share, hashed: ``core``, and the text's ``place``."""
     wide = max(1, min(WIDE, span // 4))
 
@@ -231,7 +268,7 @@ def _cores(span: int):
         for batch in batches:
             if not len(batch):
                 continue
-            parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("bytes")]
+            parts = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("bytes")]
             base = np.cumsum([len(x) for x in parts]) - [len(x) for x in parts]
             s, e, p = (batch.column(c).to_numpy() for c in ("s", "e", "p"))
             lead = (s - p) % wide
@@ -245,34 +282,35 @@ def _cores(span: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``k``, ``th``, ``a``, ``b``: byte ranges, which may overlap, that together are all bytes to remove.
+def repeated_ranges(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_bytes: int = SHARD_BYTES, kind: type = np.uint8) -> DataFrame:
+    """``k``, ``th``, ``a``, ``b``: ranges of letters, which may overlap, that together are all to remove.
 
     ``docs`` has ``k``, ``th`` (an id and the text's hash, neither null; rows equal in both are copies) and ``text``
-    (binary).
+    (binary: the letters, each of ``kind``).
     """
-    runs = stored(docs.mapInArrow(_runs(span, min(ANCHOR, span)), "cls long, whole long, k long, th int, place long"), "runs")
+    anchor, width = min(ANCHOR if kind is np.uint8 else SHINGLE, span), np.dtype(kind).itemsize
+    runs = stored(docs.mapInArrow(_runs(span, anchor, kind), "cls long, whole long, k long, th int, place long"), "runs")
     texts = stored(runs.groupBy("cls", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "place")).alias("one")), "texts")
     s, e, p = (F.expr(x) for x in ("shiftright(place, 32)", "shiftright(place, 32) + (shiftright(place, 16) & 65535)", "shiftright(place, 32) + (place & 65535)"))
     whole = runs.join(texts.where("n > 1").select("cls", "whole"), ["cls", "whole"], "left_semi").select("k", "th", s.alias("a"), (e + span).alias("b"))
     classes = texts.groupBy("cls").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("texts > 1 and least = 1")
     wanted = texts.join(classes.select("cls", "texts"), "cls").groupBy("one.k", "one.th").agg(F.collect_list(F.struct("cls", "texts", "n", "one.place")).alias("runs"))
     cut = docs.join(wanted, ["k", "th"]).select("k", "th", "text", F.explode("runs").alias("r")).select("k", "th", "text", "r.*", *(x.alias(c) for x, c in zip((s, e, p), "sep", strict=True)))
-    cut = stored(cut.select("cls", "texts", "n", "k", "th", "place", "s", "e", "p", F.expr(f"substring(text, cast(s + 1 as int), cast(e - s + {span} as int))").alias("bytes")), "cut")
+    cut = stored(cut.select("cls", "texts", "n", "k", "th", "place", "s", "e", "p", F.expr(f"substring(text, cast(s * {width} + 1 as int), cast((e - s + {span}) * {width} as int))").alias("bytes")), "cut")
     # a window can only repeat where what its block shares does: that spares most texts of a class the sorting
     small = cut.where(f"texts <= {large}")
-    cores = small.select("cls", "k", "th", "place", "s", "e", "p", "bytes").mapInArrow(_cores(span), "core long, cls long, k long, th int, place long")
+    cores = small.select("cls", "k", "th", "place", "s", "e", "p", "bytes").mapInArrow(_cores(span, kind), "core long, cls long, k long, th int, place long")
     met = cores.groupBy("core", "cls").agg(F.count("*").alias("n")).where("n > 1").select("core", "cls")
     live = cores.join(met, ["core", "cls"], "left_semi").select("k", "th", "place").distinct()
     load = small.join(live, ["k", "th", "place"], "left_semi").select("cls", "bytes", "k", "th", "s", "n")
-    out = whole.unionByName(load.repartition("cls").sortWithinPartitions("cls").mapInArrow(_sorted_shards(span, shard_bytes), "k long, th int, a long, b long"))
+    out = whole.unionByName(load.repartition("cls").sortWithinPartitions("cls").mapInArrow(_sorted_shards(span, shard_bytes, kind), "k long, th int, a long, b long"))
     if not cut.where(f"texts > {large}").isEmpty():
-        out = out.unionByName(_large_class_ranges(cut.where(f"texts > {large}"), span))
+        out = out.unionByName(_large_class_ranges(cut.where(f"texts > {large}"), span, kind))
     return out
 
 
-def _kept(whole_characters: bool):
-    """Texts without their ranges: sizes, spans and what is left, without halves of characters if asked for."""
+def _kept(words: bool):
+    """Texts without their ranges, of bytes or of words: sizes in bytes, spans and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,11 +325,13 @@ def _kept(whole_characters: bool):
                     a, b = a[order], np.maximum.accumulate(b[order])
                     new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])  # touching runs are one
                     a, b = a[new], b[np.r_[new[1:], len(b)] - 1]
+                    if words:
+                        edges = np.r_[words_in(np.frombuffer(data, np.uint8))[0], len(data)]
+                        a, b = edges[a], edges[b]
                     parts = [data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)]
                     removed.append(int((b - a).sum()))
                     spans.append(len(a))
-                    rest = b"".join(parts)
-                    left.append(rest.decode("utf-8", "ignore").encode() if whole_characters else rest)
+                    left.append(b"".join(parts))
                 else:
                     removed.append(0)
                     spans.append(0)
@@ -301,21 +341,32 @@ def _kept(whole_characters: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_bytes: int = SHARD_BYTES, whole_characters: bool = False) -> DataFrame:
+def _as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        letters = [word_letters(_letters_of(texts[i].as_buffer(), np.uint8)).tobytes() for i in range(len(texts))]
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(letters, pa.binary())], names=["k", "th", "text"])
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_bytes: int = SHARD_BYTES, words: bool = False) -> DataFrame:
     """``row`` (the input row as a struct, without text), ``n_removed``, ``n_spans`` and ``kept`` (bytes) per input row.
 
     A byte goes when a string of ``span`` bytes over it also starts anywhere else, in any row's text, judged on the
-    input. Null and empty texts, and those below ``span``, lose nothing; copies all lose their bytes, the first too.
+    input; with ``words``, a word goes when ``span`` words over it are found again, with the white space after it.
+    Null and empty texts, and those below ``span``, lose nothing; copies all lose their bytes, the first too.
     Rows that repeat an id are documents of their own; further columns ride along in ``row``; an empty table
     gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
     keyed = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.hash(text).alias("th"), text.alias("text"))
-    ranges = repeated_ranges(keyed.select("k", "th", "text"), span, large, shard_bytes)
+    letters = keyed.select("k", "th", "text")
+    if words:
+        letters = letters.mapInArrow(_as_words, "k long, th int, text binary")
+    ranges = repeated_ranges(letters, span, large, shard_bytes, np.uint64 if words else np.uint8)
     ranges = ranges.groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     row = keyed.schema["row"].dataType.simpleString()
-    return keyed.join(ranges, ["k", "th"], "left").select("row", "text", "ranges").mapInArrow(_kept(whole_characters), f"row {row}, n_removed long, n_spans long, kept binary")
+    return keyed.join(ranges, ["k", "th"], "left").select("row", "text", "ranges").mapInArrow(_kept(words), f"row {row}, n_removed long, n_spans long, kept binary")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
@@ -324,8 +375,8 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with texts cut: columns and types as they were. Half characters at a cut go, too."""
-    out = remove_repeats(docs, span, whole_characters=True)
+def without_repeats(docs: DataFrame, span: int = PASSAGE) -> DataFrame:
+    """``docs`` without passages of ``span`` words or more that are found twice: columns and types as they were, a null text empty."""
+    out = remove_repeats(docs, span, words=True)
     text = F.col("kept").cast("string")
     return out.select(*[text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -4,11 +4,13 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -97,6 +99,55 @@ def test_suffix_dedup_is_brute_force(spark, texts, large):
     assert sorted(map(tuple, out)) == sorted(want)
 
 
+def without_passages(texts, span):
+    """Each text without the words under ``span`` words in a row that start twice, and without the white space after them."""
+    parts = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    seen = Counter(tuple(m[0] for m in w[k : k + span]) for w in parts for k in range(len(w) - span + 1))
+    out = []
+    for t, w in zip(texts, parts, strict=True):
+        gone = {k + j for k in range(len(w) - span + 1) if seen[tuple(m[0] for m in w[k : k + span])] > 1 for j in range(span)}
+        ends = [m.start() for m in w[1:]] + [len(t or "")] * bool(w)
+        out.append((t or "")[: w[0].start() if w else None] + "".join((t or "")[m.start() : e] for k, (m, e) in enumerate(zip(w, ends, strict=True)) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("large", [1000, 1])
+def test_passages_are_brute_force(spark, texts, large):
+    span = 12
+    long = texts[10] + " é" * 30 + "\n" + " ".join(f"w{i}" for i in range(4000))
+    odd = [*texts, re.sub(" ", "\n  ", texts[8] or ""), "  " + texts[8], "a b " * 40, long, "x " + long[:-3]]
+    rows = suffix_dedup.remove_repeats(docs_of(spark, odd), span, large=large, shard_bytes=2000, words=True).select("row.doc_id", "n_removed", "kept").collect()
+    want = without_passages(odd, span)
+    for r in rows:
+        assert bytes(r["kept"]).decode() == want[r["doc_id"]]
+        assert r["n_removed"] == len((odd[r["doc_id"]] or "").encode()) - len(want[r["doc_id"]].encode())
+    assert len(rows) == len(odd) and sum(r["n_removed"] > 0 for r in rows) > 8
+
+
+def test_parts_of_a_long_text_are_one_text(spark, texts, monkeypatch):
+    long = " ".join(t for t in texts[:30] if t)
+    rows = [long, texts[4], long[900:2500]]
+    want = suffix_dedup.remove_repeats(docs_of(spark, rows), 60).select("row.doc_id", "n_removed", "n_spans", "kept").collect()
+    runs = {}
+    for part in (64, 1 << 22):
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        batch = pa.RecordBatch.from_pydict({"k": pa.array([1, 2]), "th": pa.array([0, 0], pa.int32()), "text": pa.array([long.encode(), b"x"])})
+        out = pa.Table.from_batches(suffix_dedup._runs(60, 32, np.uint8)(iter([batch])))
+        runs[part] = sorted((c, (p >> 32) + k) for c, p in zip(out["cls"].to_pylist(), out["place"].to_pylist(), strict=True) for k in range((p >> 16 & 65535) + 1))
+    assert runs[64] == runs[1 << 22]
+    seen = Counter(x[k : k + 60] for x in map(str.encode, rows) for k in range(len(x) - 59))
+    for r in want:
+        b = rows[r["doc_id"]].encode()
+        gone = {k + j for k in range(len(b) - 59) if seen[b[k : k + 60]] > 1 for j in range(60)}
+        assert bytes(r["kept"]) == bytes(x for k, x in enumerate(b) if k not in gone)
+
+
+def test_sorting_one_letter_is_quick():
+    at = time.time()
+    assert len(repeated_starts([np.full(200_000, 97, np.uint8)], 400)[0]) == 200_000 - 399
+    assert time.time() - at < 20
+
+
 def test_suffix_dedup_keeps_columns_and_takes_nothing(spark):
     df = spark.createDataFrame([], SCHEMA + ", kept int, th string")
     out = suffix_dedup.without_repeats(df)
@@ -340,6 +391,9 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     assert sorted(r["doc_id"] for r in one.select("doc_id").collect()) == sorted(of.component_id.unique())
     cut = stages["suffix-array dedup"](spark, one, DIR)
     assert cut.columns == docs.columns and cut.count() == one.count()
+    before = {r["doc_id"]: r["text"] for r in one.collect()}
+    want = dict(zip(before, without_passages(before.values(), 50), strict=True))
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == want
     lengths = pd.Series({r["doc_id"]: len(r["text"]) for r in cut.collect()}) <= pd.Series({r["doc_id"]: len(r["text"]) for r in one.collect()})
     assert lengths.all()
     mixed = stages["source mixing"](spark, cut, DIR)
