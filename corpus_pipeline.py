@@ -18,7 +18,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under a repeated string of 400 go."""
+    """Passages of 50 words or more that are found twice go, wherever they are."""
     return suffix_dedup.without_repeats(docs)
 
 
