@@ -37,8 +37,7 @@ def pieces_of(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = N
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(path)[0]
-        encode = lambda text: encoding.encode(text, allowed_special="all")
+        encode = encoder(path)[0].encode
         for batch in batches:
             rows, numbers, starts, lengths, crcs, values = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):

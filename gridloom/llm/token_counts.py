@@ -20,12 +20,12 @@ from .tokens import default_tokenizer, encoder, text_of
 RULES = ("first", "most")
 
 
-def spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+def spans(text: str, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """First and past-last character of every token of ``text``; a character cut by tokens belongs to each of them."""
-    encoding, sizes = encoder(path)
-    ids = np.array(encoding.encode_ordinary(text), np.int64)
-    stop = np.cumsum(sizes[ids])
-    start = stop - sizes[ids]
+    own, sizes = encoder(path)
+    size = sizes[np.array((own.encode if added else own.encode_ordinary)(text), np.int64)]
+    stop = np.cumsum(size)
+    start = stop - size
     raw = text.encode("utf-8")
     if len(raw) == len(text):
         return start, stop
@@ -54,11 +54,13 @@ def attributed(start: np.ndarray, stop: np.ndarray, edges: np.ndarray, rule: str
     return np.bincount(own, minlength=n), np.bincount(own[last > first], minlength=n)
 
 
-def section_tokens(docs: DataFrame, boundary: str = r"\n", rule: str = "first", tokenizer: str | None = None, text: str = "text") -> DataFrame:
+def section_tokens(docs: DataFrame, boundary: str = r"\n", rule: str = "first", tokenizer: str | None = None, text: str = "text", added: bool = False) -> DataFrame:
     """``doc_id``, ``section`` (from 0), ``start``, ``stop`` (characters), ``n_tokens``, ``n_crossing``.
 
     A row for every section of every input row; over a row's sections ``n_tokens`` adds up to its tokens. A null or empty
     text has one empty section without tokens. Repeated rows give repeated results; further columns are not read.
+    With ``added``, texts are split at the vocabulary's added tokens, as its tokenizer does when nothing else is set; without,
+    these are read as ordinary text.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -70,7 +72,7 @@ def section_tokens(docs: DataFrame, boundary: str = r"\n", rule: str = "first",
             for value in batch.column("text"):
                 words = text_of(value)
                 edges = sections(words, cut)
-                n, crossing = attributed(*spans(words, path), edges, rule)
+                n, crossing = attributed(*spans(words, path, added), edges, rule)
                 counts.append(len(n))
                 for held, x in zip(cols, (np.arange(len(n)), edges[:-1], edges[1:], n, crossing), strict=True):
                     held.append(x)
@@ -103,4 +105,4 @@ def field_tokens(docs: DataFrame, fields: list[str], joint: str = "\n", rule: st
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
-    return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), added=True)

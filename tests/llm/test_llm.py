@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.functions.components import connected_components
-from gridloom.llm import html_extract, license_scan, mixing, nn_descent, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts
+from gridloom.llm import html_extract, license_scan, mixing, nn_descent, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts, tokens
 from gridloom.llm.suffix_sort import common_prefixes, repeated_starts, suffix_array
 from gridloom.llm.tokens import default_tokenizer, encoder
 
@@ -301,6 +301,36 @@ def test_token_counts_are_the_tokenizers(spark, texts):
     assert token_counts.field_tokens(parts, ["t", "u", "b"]).count() == 3
 
 
+def test_tokens_of_long_white_space(spark, monkeypatch):
+    plain = Tokenizer.from_file(default_tokenizer())
+    long = ["\n" * 1_500_000, "a" + " " * 2_000_000 + "b", " \u3000\t" * 30_000 + "<|endoftext|>" + "\n" * 30_000 + "é"]
+    want = [plain.encode(t, add_special_tokens=False) for t in long]
+    for t, e in zip(long, want, strict=True):
+        assert encoder(default_tokenizer())[0].encode(t) == e.ids
+    got = token_counts.section_tokens(docs_of(spark, long), boundary="b", added=True).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {i: len(e.ids) for i, e in enumerate(want)}
+    rows = packing.pack_documents(docs_of(spark, long)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {i: len(e.ids) + 1 for i, e in enumerate(want)}
+    monkeypatch.setattr(tokens, "_RUN", re.compile(f"[{tokens._WHITE}]{{4,}}"))
+    monkeypatch.setattr(tokens, "LONG_RUN", 4)
+    rng = random.Random(6)
+    alphabet = [*" \n\t\xa0\u3000\x1c\x85abé1!'s", "    ", "\n\n\n\n\n", "<|endoftext|>", "'s"]
+    for _ in range(2000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+        assert encoder(default_tokenizer())[0].encode(t) == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_token_counts_at_added_tokens(spark):
+    plain = Tokenizer.from_file(default_tokenizer())
+    odd = ["a <|endoftext|> b\né <|endoftext|>\n\n<|endoftext", "<|endoftext|>", ""]
+    got = token_counts.section_tokens(docs_of(spark, odd), added=True).toPandas()
+    for i, t in enumerate(odd):
+        e = plain.encode(t, add_special_tokens=False)
+        own = got[got.doc_id == i].sort_values("section")
+        assert own.n_tokens.tolist() == [sum(a <= s < b for s, _ in e.offsets) for a, b in zip(own.start, own.stop, strict=True)]
+        assert own.n_tokens.sum() == len(e.ids)
+
+
 def test_license_scan_finds_what_is_planted(spark):
     mit = license_scan.bundled_templates()["MIT"]
     df = docs_of(spark, ["prose " + mit.replace("free of charge", "at no cost") + " end", "Released under the MIT License. And licensed.", "nothing here", None, ""])
