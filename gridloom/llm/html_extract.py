@@ -1,23 +1,29 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: start tags, told apart by their path, and blocks of text. Tokens of one host's pages that
-occur equally often in every page (one occurrence vector) form an equivalence class; classes held by enough pages are
-the host's template, and nest by their paths. What lies between template tokens are slots. Slots whose path plays a page
-role (menus, adverts, ...) or whose text the template itself holds are set aside; the rest is main text, in the innermost
-template element with most of the host's.
-
-Occurrence vectors are compared by an order-free hash that Spark adds up by token, so that a host with a third of all
-pages needs no task of its own.
+A page is a sequence of tokens: start tags, told apart by their path, and blocks of text, told apart by path and words.
+
+1. Pages are parsed once; of pages of a host with the same text one speaks for all.
+2. Tokens that occur equally often in every page of a host (one occurrence vector) form an equivalence class, if enough pages hold it.
+3. Of a class those tokens are valid that keep one order, and it nests where all of it lies in one slot of the host's main class, on
+   nearly all pages that have it; text that wanders between other tokens is thus none of the template's. What is valid and nests makes the template.
+4. The template's elements and texts leave slots. Text of the page's own, in no element that plays a role by its tag or name, tells
+   which element of the template holds the main text; a template's text goes where no slot near it holds text of pages' own.
+
+Occurrence vectors are compared by an order-free hash that Spark adds up by token, and only what enough pages of a host hold is ever
+gathered by host, so that a host with a third of all pages needs no task of its own.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
-from zlib import crc32
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
@@ -33,34 +39,53 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never main text.
 ASIDE = frozenset("head nav aside footer form script style noscript menu button select option textarea iframe template dialog svg object canvas title search".split())
-#: Words in class, id or role that name a page's furniture.
-_FURNITURE = re.compile(
-    r"^(ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promos|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|"
-    r"sidebar|sidebars|aside|widget|widgets|footer|foot|header|masthead|topbar|toolbar|cookie|cookies|consent|notice|notices|alert|gdpr|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|search|form|share|sharing|social|related|recommended|comment|comments|commentlist|reply|replies|respond|disqus|discussion|"
-    r"pagination|pager|skip|copyright|legal|disclaimer)$"
+#: Elements that part a page; each has a place of its own among its like. Articles of one list stay together.
+SECTIONS = frozenset("body div section aside header footer nav form center fieldset details figure".split())
+#: Words that name a page's furniture in class, id or role.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promos nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "sidebar sidebars aside widget widgets footer foot header masthead topbar toolbar cookie cookies consent notice notices alert gdpr popup modal overlay "
+    "newsletter subscribe signup login search form share sharing social related recommended comment comments commentlist reply replies respond disqus discussion "
+    "pagination pager skip copyright legal disclaimer contentinfo complementary".split()
+)
+#: Words that say nothing of what an element holds; a name is furniture if its other words are among these.
+NEUTRAL = frozenset(
+    "site page main top bottom left right upper lower first last box block list item items wrapper wrap container section area bar panel inner outer holder "
+    "row col column grid group link links post posts article articles button buttons btn icon icons primary secondary global local user users reader readers thread "
+    "body content text title slot unit zone sticky fixed mobile desktop small large js id class module component region".split()
 )
-#: A token is of the template where at least so large a part of the host's pages hold it.
+#: A token is of the template where at least so large a part of the host's pages hold it, and its class where so many agree on its order.
 SHARE = 0.5
-#: Templates of all hosts are sent to every task up to so many characters.
-BROADCAST = 8_000_000
-#: Text counts as template only on hosts with so many pages.
+AGREE = 0.9
+#: An element holds the main text with so much of the host's own text, and an article or main with so much.
+HOLDS = 0.8
+NAMED = 0.3
+#: Templates of all hosts are sent to every task up to so many tokens.
+BROADCAST = 1_000_000
+#: Hosts with fewer different pages have no template.
 LEAST_PAGES = 4
+#: Characters of text in one batch of parsed pages, about.
+BATCH = 4_000_000
 
 #: Start tags that end an open paragraph, and elements whose like ends them.
 _ENDS_P = BLOCKS - {"option", "label", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "button"}
 _ENDS_LIKE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 
+_NO_MARKS = str.maketrans("[]/", "___")
+
+
 class _Page(HTMLParser):
-    """Blocks of text with their paths, and how often each path begins."""
+    """Blocks of text with their paths and places, and how often and where each path begins."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
         self.paths = [""]
-        self.blocks: list[list] = []  # path, text, of it in links
-        self.begun: dict[str, int] = {}
+        self.likes: list[dict[str, int] | None] = [None]  # sections so far under each open element
+        self.blocks: list[tuple[str, str, int, int]] = []  # path, text, characters not in links, place
+        self.begun: dict[str, list[int]] = {}  # times, first place
+        self.place = 0
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
@@ -69,7 +94,8 @@ class _Page(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append([self.paths[-1], text, min(self.linked, len(text))])
+                self.blocks.append((self.paths[-1], text, max(0, len(text) - self.linked), self.place))
+                self.place += 1
             self.parts, self.linked = [], 0
 
     def _pop(self, n: int):
@@ -77,7 +103,7 @@ class _Page(HTMLParser):
             self._close_block()
         for tag, _ in self.stack[n:]:
             self.links -= tag == "a"
-        del self.stack[n:], self.paths[n + 1 :]
+        del self.stack[n:], self.paths[n + 1 :], self.likes[n + 1 :]
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -93,17 +119,26 @@ class _Page(HTMLParser):
             self._close_block()
         if tag in VOID:
             return
-        named = "".join(sorted({f".{w.lower()}" for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()}))
+        named = "".join(sorted({f".{w}" for k, v in attrs if v and k in ("class", "id", "role") for w in v.replace(".", "_").split()})) if attrs else ""
+        if named:  # numbers in names tell pages apart, not templates
+            named = re.sub(r"\d+", "#", named.translate(_NO_MARKS))
         path = f"{self.paths[-1]}/{tag}{named}" if tag in BLOCKS or named else self.paths[-1]
         if path != self.paths[-1]:
             self._close_if_role(named)
-            self.begun[path] = self.begun.get(path, 0) + 1
+            if tag in SECTIONS:
+                like = self.likes[-1] = self.likes[-1] or {}
+                like[path] = nth = like.get(path, 0) + 1
+                if nth > 1:
+                    path += f"[{nth}]"
+            self.begun.setdefault(path, [0, self.place])[0] += 1
+            self.place += 1
         self.stack.append((tag, named))
         self.paths.append(path)
+        self.likes.append(None)
         self.links += tag == "a"
 
     def _close_if_role(self, named: str):
-        if named and any(_FURNITURE.match(w) for x in named.split(".") for w in re.split(r"[-_]", x)):
+        if named and any(map(furniture, named.split("."))):
             self._close_block()  # an inline element that plays a role is a block of its own
 
     def _end(self, tag: str, within: set | frozenset):
@@ -144,132 +179,290 @@ def parse(html: str) -> _Page:
     return page.finish()
 
 
+@lru_cache(100_000)
+def furniture(name: str) -> bool:
+    """Whether a name is of a page's furniture: it has such a word, and its others say nothing (``site-footer``, not ``share-price``)."""
+    words = [w.lower() for w in re.findall(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+", name)]
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in NEUTRAL for w in words)
+
+
+@lru_cache(100_000)
 def plays_role(path: str) -> bool:
     """Whether an element on ``path`` is furniture by its tag or its names; a header inside an article is not."""
     inside = False
     for step in path.split("/")[1:]:
-        tag, *names = step.split(".")
+        tag, *names = step.partition("[")[0].split(".")
         inside |= tag in ("article", "main")
         if tag in ASIDE or (tag == "header" and not inside):
             return True
-        if any(_FURNITURE.match(w) for x in names for w in [x, *re.split(r"[-_]", x)] if tag not in ("body", "article", "main")):
+        if tag not in ("html", "body", "article", "main") and any(map(furniture, names)) and not (inside and tag == "header"):
             return True
     return False
 
 
+def tag_of(path: str) -> str:
+    return re.split(r"[.\[]", path.rpartition("/")[2], maxsplit=1)[0]
+
+
+def within(path: str, element: str) -> bool:
+    return not element or path == element or path.startswith(element + "/")
+
+
 def host_of(url):
     """Scheme-less host of a url column; a null or odd url has the empty host."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each token of a page: its occurrences, and for paths the text that lies right under them."""
+def _token(path: str, text: str = "") -> int:
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") - (1 << 63)
+
+
+_PARSED = {
+    "sig": pa.int64(), "paths": pa.list_(pa.string()), "ptok": pa.list_(pa.int64()), "bpath": pa.list_(pa.int32()), "btok": pa.list_(pa.int64()),
+    "bfree": pa.list_(pa.int64()), "btext": pa.list_(pa.string()), "toks": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "places": pa.list_(pa.int32()),
+}
+_PARSED_SQL = "sig long, paths array<string>, ptok array<long>, bpath array<int>, btok array<long>, bfree array<long>, btext array<string>, toks array<long>, counts array<int>, places array<int>"
+
+
+def parsed_row(html: str) -> tuple:
+    """A page's signature, elements, blocks (path, token, own characters, text) and tokens (times, first place)."""
+    page = parse(html)
+    paths = list(dict.fromkeys([*page.begun, *(b[0] for b in page.blocks)]))
+    number = {p: i for i, p in enumerate(paths)}
+    tokens: dict[int, list[int]] = {_token(p): list(held) for p, held in page.begun.items()}
+    btok = [_token(path, text) for path, text, _, _ in page.blocks]
+    for t, (_, _, _, place) in zip(btok, page.blocks, strict=True):
+        tokens.setdefault(t, [0, place])[0] += 1
+    sig = xxhash.xxh64_intdigest("\n".join(text for path, text, _, _ in page.blocks if not plays_role(path))) - (1 << 63)
+    counts, places = zip(*tokens.values(), strict=True) if tokens else ((), ())
+    return sig, paths, [_token(p) for p in paths], [number[b[0]] for b in page.blocks], btok, [b[2] for b in page.blocks], [b[1] for b in page.blocks], list(tokens), counts, places
+
+
+def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, pages, tokens, counts, chars, linked = [], [], [], [], [], []
-        for host, key, html in zip(batch.column("host"), batch.column("page"), batch.column("html"), strict=True):
-            page = parse(text_of(html))
-            rows: dict[str, list[int]] = {p: [n, 0, 0] for p, n in page.begun.items()}
-            for path, text, link in page.blocks:
-                row = rows.setdefault(path, [0, 0, 0])
-                row[1] += len(text)
-                row[2] += link
-                text_row = rows.setdefault(f"{path}\n{crc32(text.encode('utf-8', 'replace')):08x}{len(text):x}", [0, 0, 0])
-                text_row[0] += 1
-            for token, (n, c, link) in rows.items():
-                for held, v in zip((hosts, pages, tokens, counts, chars, linked), (host.as_py(), key.as_py(), token, n, c, link), strict=True):
-                    held.append(v)
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((hosts, pages, tokens, counts, chars, linked), kinds, strict=True)], names=["host", "page", "token", "n", "chars", "linked"])
-
-
-def templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``host``, ``containers``, ``fixed``: per host the template elements that hold main text, best first, and its fixed texts.
-
-    ``pages`` has ``host``, ``page`` (long), ``html``.
-    """
-    rows = stored(pages.mapInArrow(_token_rows, "host string, page long, token string, n long, chars long, linked long"), "tokens")
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    # the occurrence vector of a token, as a hash that needs no order; and the text mass of its slot
-    vectors = rows.groupBy("host", "token").agg(
-        F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.count(F.when(F.col("n") > 0, 1)).alias("support"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
-    )
-    held = vectors.join(sizes, "host")
-    is_text = F.instr("token", "\n") > 0
-    enough = (F.col("support") >= F.col("pages") * share) & (~is_text | (F.col("pages") >= least_pages))
+        rows, first, held = [], 0, 0
+        for i, html in enumerate(batch.column("html")):
+            rows.append(parsed_row(text_of(html)))
+            held += sum(map(len, rows[-1][6]))
+            if held >= BATCH or i + 1 == len(batch):
+                same = [batch.column(c).slice(first, len(rows)) for c in ("page_id", "url", "host")]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARSED.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, *cols], names=["page_id", "url", "host", *_PARSED])
+                rows, first, held = [], i + 1, 0
+
+
+def _beside(rows: DataFrame, hosts: DataFrame, columns: list[str], size: str) -> DataFrame:
+    """``rows`` with what is known of their hosts; a broadcast up to a checked size, else a join whose skew Spark splits."""
+    total = hosts.agg(F.sum(F.size(size) + 1)).first()[0] or 0
+    return rows.join(F.broadcast(hosts) if total <= BROADCAST else hosts, "host", "left").select(*columns)
+
+
+class _Hosts:
+    """What was read of hosts, kept for the rows that follow."""
+
+    def __init__(self, make):
+        self.make, self.seen = make, {}
+
+    def __call__(self, batch: pa.RecordBatch, i: int):
+        host = batch.column("host")[i].as_py()
+        if host not in self.seen:
+            if len(self.seen) > 1000:
+                self.seen.clear()
+            self.seen[host] = self.make(batch, i)
+        return self.seen[host]
+
+
+def classes_of(reps: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``host``, ``ctoks``, ``vectors``, ``supports``: tokens that enough of a host's pages hold, once each, in the order of a page that holds them, with their occurrence vectors."""
+    sizes = reps.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    rows = reps.select("host", "sig", F.explode(F.arrays_zip("toks", "counts", "places")).alias("t")).select("host", "sig", "t.*")
+    held = rows.groupBy("host", "toks").agg(F.expr("bit_xor(xxhash64(sig, counts))").alias("vector"), F.count("*").alias("support"), F.sum("counts").alias("n"), F.min(F.struct("sig", "places")).alias("first"))  # a class has one such page
+    enough = held.join(sizes, "host").where((F.col("support") >= F.col("pages") * share) & (F.col("n") == F.col("support")))
     # tokens that enough pages hold are few: no more than 1 / share pages' worth
-    classes = held.where(enough).groupBy("host", "pages", "vector").agg(F.collect_list(F.struct("token", "n", "support")).alias("tokens"))
-    per_host = classes.groupBy("host", "pages").agg(F.collect_list("tokens").alias("classes"))
-    # slots, by the path right above their text: paths of one host, not its pages
-    slots = held.where("chars > 0").groupBy("host").agg(F.collect_list(F.struct("token", "chars", "linked")).alias("slots"))
-    both = per_host.join(slots, "host", "left")
-    return both.mapInArrow(_choose, "host string, containers array<string>, fixed array<string>")
+    one = enough.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("first", "toks", "vector", "support"))).alias("t"))
+    return one.select("host", F.col("t.toks").alias("ctoks"), F.col("t.vector").alias("vectors"), F.col("t.support").alias("supports"))
+
+
+def in_order(ranks: list[int]) -> list[int]:
+    """Numbers of the items of a longest rising subsequence."""
+    ends: list[int] = []  # least last rank of a rising sequence of each length, and the item that has it
+    last: list[int] = []
+    before = []
+    for i, r in enumerate(ranks):
+        k = bisect_left(ends, r)
+        ends[k : k + 1], last[k : k + 1] = [r], [i]
+        before.append(last[k - 1] if k else -1)
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _classes(batch: pa.RecordBatch, i: int) -> tuple[dict[int, list[int]], int | None]:
+    """A host's classes, tokens in the order of one page, by vector; and its main class: the most common, of these the largest."""
+    classes, support = defaultdict(list), {}
+    for t, v, n in zip(*(batch.column(c)[i].as_py() or [] for c in ("ctoks", "vectors", "supports")), strict=True):
+        classes[v].append(t)
+        support[v] = n
+    return classes, max(classes, key=lambda v: (support[v], len(classes[v]), v), default=None)
+
+
+def ordered_tokens(place_of: dict[int, int], classes: dict[int, list[int]], root: int) -> Iterator[tuple[int, int]]:
+    """Of each class that a page holds whole: its tokens, with 1 for those that come in their order."""
+    for toks in classes.values():
+        if all(t in place_of for t in toks):
+            rank = {t: k for k, t in enumerate(toks)}
+            here = sorted(toks, key=place_of.__getitem__)
+            kept = {here[k] for k in in_order([rank[t] for t in here])}
+            yield from ((t, int(t in kept)) for t in toks)
+
+
+def nested_classes(place_of: dict[int, int], classes: dict[int, list[int]], root: int) -> Iterator[tuple[int, int]]:
+    """Of each class that a page holds whole: the slot of the main class that it lies in (-1: several)."""
+    marks = sorted(place_of[t] for t in classes[root] if t in place_of)
+    for c, toks in classes.items():
+        if all(t in place_of for t in toks):
+            slots = {0} if c == root else {bisect_left(marks, place_of[t]) for t in toks}
+            yield c, slots.pop() if len(slots) == 1 else -1
+
+
+def _votes(ask):
+    """What ``ask`` finds on pages: ``host``, ``what``, ``answer``, and on how many pages."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts = _Hosts(_classes)
+        for batch in batches:
+            votes: Counter = Counter()
+            for i in range(len(batch)):
+                classes, root = hosts(batch, i)
+                if root is not None:
+                    host = batch.column("host")[i].as_py()
+                    place_of = {t: p for t, n, p in zip(*(batch.column(c)[i].as_py() for c in ("toks", "counts", "places")), strict=True) if n == 1}
+                    votes.update((host, *vote) for vote in ask(place_of, classes, root))
+            yield pa.RecordBatch.from_pylist([dict(zip(("host", "what", "answer", "n"), (*k, n), strict=True)) for k, n in votes.items()], schema=_VOTES)
+
+    return run
+
+
+_VOTES = pa.schema([("host", pa.string()), ("what", pa.int64()), ("answer", pa.int64()), ("n", pa.int64())])
+
+
+def _agreed(reps: DataFrame, classes: DataFrame, ask, least: int) -> DataFrame:
+    """``host``, ``what``: where nearly all pages give one answer, of those from ``least`` on."""
+    columns = ["host", "toks", "counts", "places", "ctoks", "vectors", "supports"]
+    votes = _beside(reps, classes, columns, "ctoks").mapInArrow(_votes(ask), "host string, what long, answer long, n long")
+    votes = votes.groupBy("host", "what", "answer").agg(F.sum("n").alias("n"))
+    most = F.max(F.when(F.col("answer") >= least, F.col("n")))
+    return votes.groupBy("host", "what").agg(most.alias("most"), F.sum("n").alias("all")).where(F.col("most") >= F.col("all") * AGREE).select("host", "what")
+
+
+def templates(parsed: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``host``, ``tokens``: the elements and texts of each host's template (hosts without one are left out).
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``parsed`` has ``host``, ``sig``, ``toks``, ``counts``, ``places``; pages of a host with one ``sig`` count once.
+    """
+    reps = parsed.groupBy("host", "sig").agg(F.min(F.struct("toks", "counts", "places")).alias("t")).select("host", "sig", "t.*")
+    reps = stored(reps, "pages-once")
+    classes = stored(classes_of(reps, share, least_pages), "classes")
+    one = F.explode(F.arrays_zip("ctoks", "vectors", "supports")).alias("t")
+    tokens = classes.select("host", one).select("host", F.col("t.ctoks").alias("token"), F.col("t.vectors").alias("vector"), F.col("t.supports").alias("support"), F.monotonically_increasing_id().alias("nth"))
+    tokens = stored(tokens.join(_agreed(reps, classes, ordered_tokens, 1).withColumnRenamed("what", "token"), ["host", "token"]), "ordered")
+    valid = tokens.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("nth", "token", "vector", "support"))).alias("t"))
+    valid = stored(valid.select("host", F.col("t.token").alias("ctoks"), F.col("t.vector").alias("vectors"), F.col("t.support").alias("supports")), "valid")
+    nested = _agreed(reps, valid, nested_classes, 0).withColumnRenamed("what", "vector")
+    return tokens.join(nested, ["host", "vector"]).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+
+
+def _frame(batch: pa.RecordBatch, i: int, template: set[int]):
+    """A page's paths, its template elements by path, and its blocks (path, token, own characters)."""
+    paths, ptok, bpath, btok, bfree = (batch.column(c)[i].as_py() for c in ("paths", "ptok", "bpath", "btok", "bfree"))
+    elements = {p: t for p, t in zip(paths, ptok, strict=True) if t in template and tag_of(p) in SECTIONS | {"article", "main"}}
+    return paths, elements, [(paths[k], t, n) for k, t, n in zip(bpath, btok, bfree, strict=True)]
+
+
+def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Own text of pages in each element of their host's template; token 0 for all of it."""
+    hosts = _Hosts(lambda batch, i: set(batch.column("tokens")[i].as_py() or []))
     for batch in batches:
-        hosts, containers, fixed = [], [], []
-        for r in batch.to_pylist():
-            classes = [c for c in r["classes"] if c]
-            # elements that a page holds once, of classes nested in each other: the template's skeleton
-            once = sorted({t["token"] for c in classes for t in c if "\n" not in t["token"] and t["n"] == t["support"]}, key=len)
-            skeleton = {p for p in once if p.rpartition("/")[0] in {"", *once} or any(p.startswith(q + "/") for q in once)}
-            hosts.append(r["host"])
-            fixed.append(sorted({t["token"] for c in classes for t in c if "\n" in t["token"]}) if r["pages"] > 1 else [])
-            free = {s["token"]: s["chars"] - s["linked"] for s in r["slots"] or [] if not plays_role(s["token"])}
-            containers.append(ranked(skeleton, free))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(containers, pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.string()))], names=["host", "containers", "fixed"])
-
-
-def ranked(skeleton: set[str], free: dict[str, int]) -> list[str]:
-    """Elements of the skeleton by how well they hold the free text: the innermost with most of it first."""
-    total = sum(free.values())
-    mass = {p: sum(n for q, n in free.items() if q == p or q.startswith(p + "/")) for p in skeleton if not plays_role(p)}
-    whole = [p for p, n in mass.items() if n and n >= 0.8 * total]
-    named = [p for p, n in mass.items() if n and n >= 0.3 * total and p.rpartition("/")[2].split(".")[0] in ("article", "main")]
-    return sorted(named, key=lambda p: (-mass[p], -len(p))) + sorted(whole, key=lambda p: (-p.count("/"), p))
-
-
-def main_text(html: str, containers: list[str], fixed: set[str]) -> str:
-    """Blocks of a page inside the first container that it has, without furniture and fixed texts."""
-    page = parse(html)
-    free = [(path, text) for path, text, _ in page.blocks if not plays_role(path)]
-    chosen = next((c for c in containers if any(p == c or p.startswith(c + "/") for p, _ in free)), None)
-    if chosen is None:  # a page unlike its host's template: its own article, or all that plays no role
-        chosen = next((p for p in sorted(page.begun, key=len) if re.split(r"[/.]", p.rpartition("/")[2])[0] in ("article", "main") and any(q == p or q.startswith(p + "/") for q, _ in free)), "")
-    kept = [(p, t) for p, t in free if not chosen or p == chosen or p.startswith(chosen + "/")]
-    if chosen.rpartition("/")[2].split(".")[0] in ("article", "main"):
-        fixed = set()  # copies of one article on many pages of a host are no template
-    return "\n\n".join(t for p, t in kept if f"{p}\n{crc32(t.encode('utf-8', 'replace')):08x}{len(t):x}" not in fixed)
+        sums: Counter = Counter()
+        for i in range(len(batch)):
+            template = hosts(batch, i)
+            if not template:
+                continue
+            host = batch.column("host")[i].as_py()
+            _, elements, blocks = _frame(batch, i, template)
+            for path, t, n in blocks:
+                if n and t not in template and not plays_role(path):
+                    sums[host, 0] += n
+                    for p, e in elements.items():
+                        if within(path, p):
+                            sums[host, e] += n
+        yield pa.RecordBatch.from_pylist([{"host": h, "token": t, "mass": n} for (h, t), n in sums.items()], schema=pa.schema([("host", pa.string()), ("token", pa.int64()), ("mass", pa.int64())]))
+
+
+def chosen_blocks(paths: list[str], elements: dict[str, int], blocks: list[tuple[str, int, int]], template: set[int], mass: dict[int, int]) -> list[int]:
+    """Numbers of the blocks that are main text.
+
+    The page's article or main, if it holds enough; else the innermost template element with most of the host's own text that
+    holds all of the page's; else the page. Of it, what plays no role, and no template text whose section holds no page's own text.
+    """
+    free = [k for k, (p, _, _) in enumerate(blocks) if not plays_role(p)]
+    size = lambda c: sum(max(1, blocks[k][2]) for k in free if within(blocks[k][0], c))
+    total = mass.get(0, 0)
+    named = [p for p in paths if tag_of(p) in ("article", "main") and not plays_role(p)]
+    known = [p for p in named if p in elements and mass.get(elements[p], 0) >= NAMED * total > 0]
+    own = known or [p for p in named if 0 < size(p) >= NAMED * size("")]
+    if own := [p for p in own if size(p)]:
+        best = max(own, key=lambda p: (mass.get(elements.get(p, 0), 0) if known else 0, size(p), -len(p)))
+        return [k for k in free if within(blocks[k][0], best)]
+    if not total:
+        return free
+    needed = [blocks[k][0] for k in free if blocks[k][1] not in template and blocks[k][2]]
+    holds = sorted((p for p, e in elements.items() if mass.get(e, 0) >= HOLDS * total and not plays_role(p)), key=len, reverse=True)
+    best = next((p for p in holds if all(within(q, p) for q in needed)), "")
+    out = []
+    for k in free:
+        path, t, _ = blocks[k]
+        section = max((p for p in elements if within(path, p)), key=len, default="")
+        if within(path, best) and (t not in template or not section or mass.get(elements[section], 0)):
+            out.append(k)
+    return out
+
+
+def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batch, i):
+        masses = dict(zip(batch.column("mtok")[i].as_py() or [], batch.column("mass")[i].as_py() or [], strict=True))
+        return set(batch.column("tokens")[i].as_py() or []), masses
+
+    hosts = _Hosts(make)
+    for batch in batches:
+        out = []
+        for i in range(len(batch)):
+            template, mass = hosts(batch, i)
+            kept = chosen_blocks(*_frame(batch, i, template), template, mass)
+            texts = batch.column("btext")[i].values
+            out.append("\n\n".join(texts[k].as_py() for k in kept))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` per input row.
 
     Null, empty and tagless html: what text there is, else the empty text. Null urls are one host, the empty one.
-    Repeated rows are pages of their own; further columns are not read; an empty table gives an empty one.
+    Repeated rows are pages of their own, which tell no more of the template than one; further columns are not read; an
+    empty table gives an empty one.
     """
-    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"))
-    chosen = stored(templates(keyed.select("host", "page", "html"), share, least_pages), "templates")
-    text = F.length(F.concat_ws("", "containers")) + F.length(F.concat_ws("", "fixed")) + F.length("host")
-    size = chosen.agg(F.sum(text)).first()[0] or 0
-    if size <= BROADCAST:  # else pages meet their templates by a shuffle on the host, whose skew Spark splits
-        chosen = F.broadcast(chosen)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[list[str], set[str]]] = {}
-        for batch in batches:
-            out = []
-            for i in range(len(batch)):
-                host = batch.column("host")[i].as_py()
-                if host not in seen:
-                    if len(seen) > 1000:
-                        seen.clear()
-                    seen[host] = (batch.column("containers")[i].as_py() or [], set(batch.column("fixed")[i].as_py() or []))
-                out.append(main_text(text_of(batch.column("html")[i]), *seen[host]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
-    return keyed.join(chosen, "host", "left").select("page_id", "url", "html", "host", "containers", "fixed").mapInArrow(run, schema)
+    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    kind = dict(pages.dtypes)["page_id"]
+    parsed = stored(keyed.select("page_id", "url", "host", "html").mapInArrow(_parse_pages, f"page_id {kind}, url string, host string, {_PARSED_SQL}"), "parsed", "zstd")
+    template = stored(templates(parsed.select("host", "sig", "toks", "counts", "places"), share, least_pages), "templates")
+    light = ["host", "paths", "ptok", "bpath", "btok", "bfree"]
+    masses = _beside(parsed.select(*light), template, [*light, "tokens"], "tokens").mapInArrow(_masses, "host string, token long, mass long").groupBy("host", "token").agg(F.sum("mass").alias("mass"))
+    masses = masses.groupBy("host").agg(F.collect_list(F.struct("token", "mass")).alias("m")).select("host", F.col("m.token").alias("mtok"), F.col("m.mass").alias("mass"))
+    known = stored(template.join(masses, "host", "left"), "hosts")
+    columns = ["page_id", "url", *light, "btext"]
+    return _beside(parsed.select(*columns), known, [*columns, "tokens", "mtok", "mass"], "tokens").mapInArrow(_main_text, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

@@ -361,6 +361,97 @@ def test_html_on_given_pages(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def extracted(spark, rows, **more):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES), **more).collect()}
+
+
+def test_html_loses_no_text(spark):
+    body = "<html><body><nav>menu</nav><div id='content'><p>Only text of this host.</p></div></body></html>"
+    rows = [(i, "http://copies.x/", body) for i in range(4)]
+    shared = "<p>A paragraph that all five share.</p>"
+    rows += [(10 + i, "http://share.x/", f"<body><div class='top'>Our shop</div><div id='content'><p>Own text {i} of page.</p>{shared}</div></body>") for i in range(5)]
+    inner = "<div class='legal-analysis'><p>The law</p></div><div class='search-results-table'>Found</div><p>Costs <span class='share-price'>12</span> a share</p><div class='comment-list'>Nice</div><div class='siteFooter'>x</div>"
+    rows += [(20 + i, "http://law.x/", f"<body><article id='post-{i}'><h1>T{i}</h1>{inner}</article></body>") for i in range(5)]
+    same = "<body><div>Weather notice</div><div><h2>Own head {0}</h2><p>Own {0} and more.</p></div><div>All rights reserved</div></body>"
+    rows += [(30 + i, "http://plain.x/", same.format(i)) for i in range(5)]
+    got = extracted(spark, rows)
+    for i in range(4):
+        assert got[i] == "Only text of this host."
+    for i in range(5):
+        assert got[10 + i] == f"Own text {i} of page.\n\nA paragraph that all five share."
+        assert got[20 + i] == f"T{i}\n\nThe law\n\nFound\n\nCosts 12 a share"
+        assert got[30 + i] == f"Own head {i}\n\nOwn {i} and more."
+
+
+def test_html_copies_and_odd_pages_keep_their_text(spark):
+    same = "<body><div class='x'>Welcome</div><div id='c'><p>{}</p></div></body>"
+    rows = [(i, "http://h.x/", same.format("One article in many copies.") + f"<!-- {i} -->") for i in range(20)]
+    rows += [(20 + i, "http://h.x/", same.format(f"Text number {i}")) for i in range(4)]
+    rows += [(30, "http://h.x/", "<body><div class='x'>Welcome</div><div id='c'><p>In</p></div><div class='y'><p>Beside the usual place.</p></div></body>")]
+    rows += [(31, "http://h.x/", "<body><p>No frame at all"), (32, "http://h.x/", "<body><div class='x'>Welcome</div></body>"), (33, "http://h.x/", None)]
+    rows += [(40, "http://long.x/", "<body><p>" + "word &amp; " * 300_000), (41, None, "<p>a</p>"), (41, None, "<p>a</p>")]
+    frame = spark.createDataFrame(rows, PAGES).withColumn("host", F.lit("mine")).withColumn("sig", F.lit(1)).withColumn("tokens", F.lit("t"))
+    out = html_extract.extract(frame).collect()
+    got = {r["page_id"]: r["text"] for r in out}
+    assert len(out) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert all(got[i] == "One article in many copies." for i in range(20)) and all(got[20 + i] == f"Text number {i}" for i in range(4))
+    assert "In" in got[30] and "Beside the usual place." in got[30] and got[31] == "No frame at all"
+    assert got[33] == "" and got[40] == ("word & " * 300_000).strip() and got[41] == "a"
+    assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_html_templates_are_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        optional = "<div class='promo2'>Offer of the week</div>" if i % 3 else ""
+        parts = [f"<p>own {i} {k}</p>" for k in range(rng.randint(1, 3))] + ["<p>wanders about</p>"]
+        rng.shuffle(parts)
+        top = "<div class='a'>fixed a</div>" * (1 + (i % 7 == 0)) + "<div class='b'>fixed b</div>"
+        ends = rng.sample(["<p>roams</p>", ""], 2)
+        rows.append((i, f"http://{'abc'[i % 2]}.x/", f"<body>{ends[0]}{top}<div id='c'>{''.join(parts)}</div>{optional}<div class='z'>end</div>{ends[1]}</body>"))
+    parsed = [(u, html_extract.parsed_row(h)) for _, u, h in rows]
+    schema = "host string, sig long, toks array<long>, counts array<int>, places array<int>"
+    frame = spark.createDataFrame([(u, p[0], p[7], list(p[8]), list(p[9])) for u, p in parsed], schema)
+    got = {r["host"]: set(r["tokens"]) for r in html_extract.templates(frame).collect()}
+    for host in {u for u, _ in parsed}:
+        pages = [x for _, x in sorted({p[0]: dict(zip(p[7], zip(p[8], p[9], strict=True), strict=True)) for u, p in parsed if u == host}.items())]
+        classes = defaultdict(list)
+        for t in {t for p in pages for t in p}:
+            vector = tuple(p.get(t, (0, 0))[0] for p in pages)
+            if max(vector) == 1 and sum(vector) * 2 >= len(pages):
+                classes[vector].append(t)
+        holding = lambda v: [p for n, p in zip(v, pages, strict=True) if n]
+        valid = {}
+        for v, toks in classes.items():
+            order = sorted(toks, key=lambda t: holding(v)[0][t][1])
+            kept = Counter()
+            for p in holding(v):  # of what keeps the first page's order, the most
+                best = [[]]
+                for t in order:
+                    best += [[*x, t] for x in best if not x or p[x[-1]][1] < p[t][1]]
+                    best = [max((x for x in best if (x or [None])[-1] == e), key=len) for e in dict.fromkeys((x or [None])[-1] for x in best)]
+                kept.update(max(best, key=len))
+            valid[v] = [t for t in toks if kept[t] >= 0.9 * sum(v)]
+        root = max((v for v in valid if valid[v]), key=lambda v: (sum(v), len(valid[v])))
+        want = set()
+        for v, toks in valid.items():
+            slots = Counter()
+            for p in holding(v):
+                own = {sum(p[x][1] < p[t][1] for x in valid[root]) for t in toks} if v != root and toks else {0}
+                slots[own.pop() if len(own) == 1 else -1] += 1
+            if max((n for slot, n in slots.items() if slot >= 0), default=0) >= 0.9 * sum(v):
+                want |= set(toks)
+        assert got[host] == want and want
+        assert html_extract._token("/body/div.b", "fixed b") in want
+        assert html_extract._token("/body/p", "roams") not in want
+    kept = html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()
+    assert all("wanders about" in r["text"] and "fixed b" not in r["text"] and "end" not in r["text"] for r in kept)
+
+
 def test_nn_descent_is_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))
