@@ -339,6 +339,42 @@ def test_license_scan_finds_what_is_planted(spark):
     assert rows[0]["coverage"] > 0.95 and rows[1]["start"] == 0 and rows[1]["stop"] == 30
 
 
+def test_licenses_with_clauses_put_in_or_left_out():
+    words, index = license_scan.index_of(license_scan.bundled_templates())
+    mit = license_scan.bundled_templates()["MIT"]
+    own = mit.split()
+    inserted = " ".join([*own[:80], *(f"added{i}" for i in range(25)), *own[80:]])
+    wrapped = "# " + "\n# Copyright holders ".join(" ".join(own[i : i + 40]) for i in range(0, len(own), 40))
+    omitted = " ".join([*own[:60], *own[78:]])
+    moved = " ".join([*own[:50], *(f"x{i}" for i in range(30)), *own[50:110], *own[122:]])
+    for text in (inserted, wrapped, omitted, moved, "İa " * 5 + mit + " İİ", f"{mit} and once more {mit}", mit.upper()):
+        found = [m for m in license_scan.matches(text, words, index) if m[0] == "MIT"]
+        assert len(found) == 1 + ("once more" in text), text[:40]
+        for _, n, size, covered, a, b in found:
+            # no alignment of the whole text finds more
+            own_words, row = license_scan._words(text[a:b]), [0] * (len(text[a:b]) + 1)
+            for t in words["MIT"]:
+                row = [0] + [*map(int, row[1:])]
+                before = row[:]
+                for j, w in enumerate(own_words):
+                    row[j + 1] = max(row[j], before[j + 1], before[j] + (w == t))
+            assert n == row[len(own_words)] and covered == n / size >= 0.8
+            assert text[a:b].split()[0].lower().lstrip("# ").startswith("permission")
+    assert not license_scan.matches(" ".join(own[:100]), {"MIT": words["MIT"]}, {g: [x for x in v if x[0] == "MIT"] for g, v in index.items()})
+    assert license_scan.matches("", words, index) == []
+    at = time.time()
+    assert len(license_scan.matches("Released under the MIT License.\n" * 20_000, words, index)) == 20_000
+    assert time.time() - at < 30
+
+
+def test_every_bundled_license_finds_itself(spark):
+    texts = list(license_scan.bundled_templates().items())
+    rows = license_scan.scan(docs_of(spark, [t for _, t in texts] + ["tied " + texts[0][1]] * 2)).collect()
+    assert {(r["doc_id"], r["license"]) for r in rows if r["coverage"] == 1} >= {(i, n) for i, (n, _) in enumerate(texts)}
+    assert sum(r["license"] == "MIT" for r in rows) == 3
+    assert license_scan.scan(docs_of(spark, [])).count() == 0
+
+
 def test_html_keeps_the_article(spark):
     def page(i, body, extra=""):
         return f"<html><head><title>t{i}</title><script>var a='</p>';</script></head><body><nav><ul><li>menu {i}</ul></nav>{extra}{body}<aside>side {i}</aside><footer>foot {i}</footer></body></html>"
