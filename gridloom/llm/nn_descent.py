@@ -309,12 +309,21 @@ def _by_key(solve):
 def link_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``id``, ``n``: how many others of its component each vector links to, copies counted.
 
-    ``members`` has ``component``, ``id``, ``mult``, ``v``. A component is parted into blocks of about ``block`` vectors, and each pair
-    of blocks is one small product; a row goes to as many products as its component has blocks.
+    ``members`` has ``component``, ``id``, ``mult``, ``v``. Where all vectors of a component are within half the threshold's angle of
+    one of them, all link to all, and nothing is compared; so most groups of near copies, however large, cost a sum. Another
+    component is parted into blocks of about ``block`` vectors, and each pair of blocks is one small product; a row goes to as many
+    products as its component has blocks.
     """
-    keyed = _dealt(members, block).select("key", "side", "id", "mult", "v")
+    reach = float(np.arccos(min(max(threshold, -1.0), 1.0))) - 1e-6
+    centres = members.groupBy("component").agg(F.min_by("v", "id").alias("centre"))
+    far = F.max(_angle(_dot(F.col("v"), F.col("centre")))).alias("far")
+    sizes = members.join(centres, "component").groupBy("component").agg(far, F.sum("mult").alias("all"))
+    sizes = stored(sizes.select("component", "all", (F.col("far") * 2 <= reach).alias("tight")), "sizes")
+    placed = members.join(sizes, "component")
+    tight = placed.where("tight").select("id", (F.col("all") - F.col("mult")).alias("n"))
+    keyed = _dealt(placed.where("not tight").drop("all", "tight"), block).select("key", "side", "id", "mult", "v")
     sums = keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_by_key(_counts(threshold)), "id long, n long")
-    return sums.groupBy("id").agg(F.sum("n").alias("n"))
+    return tight.unionByName(sums.groupBy("id").agg(F.sum("n").alias("n")))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, queries: int = AUDITED) -> DataFrame:

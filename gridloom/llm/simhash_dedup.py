@@ -9,6 +9,7 @@ vectors of the differing bits leave some ``v`` orthogonal to all of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, also: tuple[
             texts = batch.column("text")
             out = np.zeros(len(texts), np.uint64)
             for i in range(len(texts)):
-                raw = texts[i].as_py()
-                if raw:
-                    out[i] = _fingerprint(raw.encode("utf-8", "surrogatepass").lower().split(), shingle, seed, digest)
+                if texts[i].is_valid:  # bytes, whose lower() and split() know ASCII only
+                    out[i] = _fingerprint(texts[i].as_buffer().to_pybytes().lower().split(), shingle, seed, digest)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64)), *(batch.column(c) for c in also)], names=["doc_id", "fp", *also])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
@@ -95,10 +95,11 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, large: int = LARGE_BUCK
 
     Returns ``a``, ``b``: a spanning forest of each bucket's pairs within the radius, so that components are
     exact and no bucket gives more links than members. A bucket over ``large`` is dealt out again by a second
-    covering of the same radius; there members agree
-    on the bits of both masks, and no more than 2 ** 20 different fingerprints can.
+    covering of the same radius, where members agree on the bits of both masks. What is still over ``large`` is joined by
+    common neighbours: two fingerprints within the radius have one that half of it parts from each, and all that have one
+    in common are within the radius; so each is linked to the least with which it shares one, in work that grows as the bucket.
     """
-    dealt = _dealt(nodes, F.lit(0).cast("long"), covering_masks(radius))
+    dealt = _dealt(nodes.withColumn("held", F.lit(0).cast("long")), F.lit(0).cast("long"), covering_masks(radius))
     counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     counts = stored(counts, "buckets")
     pairs = counts.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("a", "b")
@@ -107,14 +108,41 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, large: int = LARGE_BUCK
     several = stored(several, "several")
     lists = several.where(f"n <= {large}").groupBy("bucket").agg(F.collect_set("fp").alias("fps"))
     again = _dealt(several.where(f"n > {large}"), F.col("bucket"), covering_masks(radius, second=True))
-    finer = again.groupBy("bucket").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
+    sizes = again.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    again = stored(again.join(sizes, "bucket"), "again")
+    most = large if radius % 2 == 0 else 1 << 62  # an odd radius has no half
+    finer = again.where(f"n <= {most}").groupBy("bucket").agg(F.collect_set("fp").alias("fps"))
     found = lists.select("fps").unionByName(finer.select("fps")).mapInArrow(_forests(radius), "a long, b long")
-    return pairs.unionByName(found).distinct()
+    around = again.where(f"n > {most}").select("bucket", "fp", "held").mapInArrow(_neighbours(radius), "bucket long, near long, fp long")
+    least = around.groupBy("bucket", "near").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = around.join(least, ["bucket", "near"]).where("fp != a").select("a", F.col("fp").alias("b"))
+    return pairs.unionByName(found).unionByName(met).distinct()
 
 
 def _dealt(rows: DataFrame, salt, masks: list[int]) -> DataFrame:
-    keys = F.array(*[F.xxhash64(F.lit(i), salt, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    return rows.select(F.explode(keys).alias("bucket"), "fp")
+    """``rows`` once for each mask: ``bucket``, ``fp``, and the bits ``held`` that a bucket's members agree on."""
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(i), salt, F.col("fp").bitwiseAND(F.lit(m))).alias("bucket"), F.col("held").bitwiseOR(F.lit(m)).alias("held")) for i, m in enumerate(masks)])
+    return rows.select(F.explode(keys).alias("k"), "fp").select("k.bucket", "fp", "k.held")
+
+
+def _neighbours(radius: int):
+    """Every fingerprint with half the radius of bits changed, or fewer, among those that its bucket does not hold."""
+    half = radius // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held").to_numpy()
+            for bits in np.unique(held).tolist():
+                at = np.flatnonzero(held == bits)
+                free = [1 << b for b in range(64) if not bits >> b & 1]
+                flips = np.array([sum(c) for n in range(half + 1) for c in combinations(free, n)], np.uint64)
+                for part in np.array_split(at, len(at) * len(flips) // 1_000_000 + 1):
+                    fp = batch.column("fp").to_numpy()[part]
+                    near = (fp.view(np.uint64)[:, None] ^ flips[None, :]).ravel()
+                    rows = pa.array(np.repeat(part, len(flips)))
+                    yield pa.RecordBatch.from_arrays([batch.column("bucket").take(rows), pa.array(near.view(np.int64)), batch.column("fp").take(rows)], names=["bucket", "near", "fp"])
+
+    return run
 
 
 def _forests(radius: int):

@@ -187,11 +187,22 @@ def test_large_buckets_lose_no_link(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
     want = components([(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 4], signed)
-    for large in (1500, 3):
+    for large in (1500, 40, 3):
         links = simhash_dedup.fingerprint_links(nodes, 4, large).collect()
         assert components([(r["a"], r["b"]) for r in links], signed) == want
 
 
+def test_simhash_of_odd_rows(spark):
+    odd = "a\u00a0b C\x1cd \udc80".encode("utf-8", "surrogatepass")
+    frame = spark.createDataFrame([(1, bytearray(odd)), (1, bytearray(odd)), (2, None), (3, bytearray(b""))], "doc_id long, raw binary")
+    frame = frame.select("doc_id", F.col("raw").cast("string").alias("text"), F.lit(1).alias("fp"), F.lit("x").alias("bucket"))
+    rows = simhash_dedup.simhash_components(frame).collect()
+    words = odd.lower().split()
+    whole = xxhash.xxh64_intdigest(b" ".join(words), 42)
+    assert sorted((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in rows) == [(1, whole, 1), (1, whole, 1), (2, 0, 2), (3, 0, 2)]
+    assert simhash_dedup.simhash_components(docs_of(spark, [])).count() == 0
+
+
 def test_packing_places_every_piece_once(spark, texts):
     df = docs_of(spark, [*texts, " ".join(f"w{i}" for i in range(3000))])
     rows = packing.pack_documents(df, 64, ids=True).toPandas()
