@@ -18,16 +18,16 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 #: The arrays of ``sources.tables`` in SQL.
-IMAGE = "img as (select y, x, v from (select vec_id as y, unnest(range(0, 64)) as x, unnest(embedding)::double as v from embeddings))"
+IMAGE = "img as materialized (select y, x, v from (select vec_id as y, unnest(range(0, 64)) as x, unnest(embedding)::double as v from embeddings))"
 _HOUR = "floor((epoch_us(ts) / 1000000.0 - 1704067200) / 3600)::bigint"
-RASTER = f"""ras as (select g.t, g.x, coalesce(e.v, 0.0) as v from (select t, x from range(0, 720) a(t), range(0, 32) b(x)) g
+RASTER = f"""ras as materialized (select g.t, g.x, coalesce(e.v, 0.0) as v from (select t, x from range(0, 720) a(t), range(0, 32) b(x)) g
  left join (select {_HOUR} as t, user_id % 32 as x, sum(round(value, 4)) as v from events group by all) e on e.t = g.t and e.x = g.x)"""
-CHANNELS = f"""chn as (select g.c, g.t as y, g.x, coalesce(e.v, 0.0) as v
+CHANNELS = f"""chn as materialized (select g.c, g.t as y, g.x, coalesce(e.v, 0.0) as v
  from (select c, t, x from range(0, (select count(distinct event_type) from events)) k(c), range(0, 720) a(t), range(0, 32) b(x)) g
  left join (select k.c, {_HOUR} as t, user_id % 32 as x, sum(round(value, 4)) as v from events
    join (select event_type, row_number() over (order by event_type) - 1 as c from (select distinct event_type from events)) k using (event_type) group by all) e
  on e.c = g.c and e.t = g.t and e.x = g.x)"""
-VOLUME = """vol as (select g.z, g.y, g.x, coalesce(e.v, 0.0) as v from (select z, y, x from range(0, 7) a(z), range(0, 100) b(y), range(0, 84) c(x)) g
+VOLUME = """vol as materialized (select g.z, g.y, g.x, coalesce(e.v, 0.0) as v from (select z, y, x from range(0, 7) a(z), range(0, 100) b(y), range(0, 84) c(x)) g
  left join (select l_linenumber - 1 as z, l_suppkey % 100 as y, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 as x, sum(l_quantity) as v from lineitem group by all) e
  on e.z = g.z and e.y = g.y and e.x = g.x)"""
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from .catalogue import IMAGE, RASTER, VOLUME, _line, _smooth, query, r6, with_
-from .functions.scalar import LATTICE, MIXERS, compressed_morton, lattice_noise, morton
+from .functions.scalar import LATTICE, MIXERS, SHIFTS, compressed_morton, lattice_noise, morton
 from .geometry import resample as geo
 from .geometry.transforms import Affine, ByDimension, Field, InverseField, Sequence, Swirl, Swirls
 from .grid import Grid
@@ -125,49 +125,64 @@ _LINEAR = "(case when k.a = 1 then p.py - floor(p.py) else 1 - (p.py - floor(p.p
 
 
 def _resampled(points: str) -> str:
-    return with_(IMAGE, f"pts as ({points})", f"s as (select p.y, p.x, sum(i.v * {_LINEAR}) as v {_CORNERS.format(n=_NY)} group by p.y, p.x)") + f"select pts.y, pts.x, {r6('coalesce(s.v, 0)')} from pts left join s using (y, x)"
+    return with_(IMAGE, f"pts as materialized ({points})", f"s as (select p.y, p.x, sum(i.v * {_LINEAR}) as v {_CORNERS.format(n=_NY)} group by p.y, p.x)") + f"select pts.y, pts.x, {r6('coalesce(s.v, 0)')} from pts left join s using (y, x)"
+
+
+
+
+def _warped(s, d, transform, **more):
+    image = _image(s, d)
+    return geo.resample(image, _target(image), transform, **more)
 
 
 _TURN = Affine.of([[0.96, 0.28], [-0.28, 0.96]], [3.0, -2.0])
-_TARGET = ArrayMeta(("y", "x"), (120, 64), "float64", (64, 64))
-_AT = "select y, x, 0.96 * (y + 0.5) + 0.28 * (x + 0.5) + 3.0 - 0.5 as py, -0.28 * (y + 0.5) + 0.96 * (x + 0.5) - 2.0 - 0.5 as px from range(0, 120) a(y), range(0, 64) b(x)"
-query("affine_resample", _resampled(_AT))(lambda s, d: geo.resample(_image(s, d), _TARGET, _TURN))
+
+
+def _target(image: Grid) -> ArrayMeta:
+    """As many lines as the source has."""
+    return ArrayMeta(("y", "x"), image.meta.shape, "float64", (64, 64))
+
+
+_LINES = f"range(0, {_NY}) a(y), range(0, 64) b(x)"
+_AT = "select y, x, 0.96 * (y + 0.5) + 0.28 * (x + 0.5) + 3.0 - 0.5 as py, -0.28 * (y + 0.5) + 0.96 * (x + 0.5) - 2.0 - 0.5 as px from " + _LINES
+query("affine_resample", _resampled(_AT))(lambda s, d: _warped(s, d, _TURN))
 query(
     "nearest_resample",
     with_(IMAGE, f"pts as ({_AT})") + f"select p.y, p.x, {r6('coalesce(i.v, 0)')} from pts p left join img i on i.y = floor(p.py + 0.5) and i.x = floor(p.px + 0.5) and p.py >= -0.5 and p.px >= -0.5 and p.px < 63.5 and p.py < {_NY} - 0.5",
-)(lambda s, d: geo.resample(_image(s, d), _TARGET, _TURN, order=0))
+)(lambda s, d: _warped(s, d, _TURN, order=0))
 _SWIRL = Swirl((60.0, 32.0), 20.0, 0.6)
-_SW = """select y, x, (dy * cos(a) - dx * sin(a) + 60) - 0.5 as py, (dy * sin(a) + dx * cos(a) + 32) - 0.5 as px
- from (select *, 0.6 * exp(-(dy * dy + dx * dx) / 400.0) as a from (select y, x, y + 0.5 - 60 as dy, x + 0.5 - 32 as dx from range(0, 120) a(y), range(0, 64) b(x)))"""
-query("warp_swirl", _resampled(_SW))(lambda s, d: geo.resample(_image(s, d), _TARGET, _SWIRL))
-query("warp_sequence", _resampled(_SW.replace("select y, x, (dy", "select y, x, 2.0 + (dy")))(lambda s, d: geo.resample(_image(s, d), _TARGET, Sequence((_SWIRL, Affine.of([[1, 0], [0, 1]], [2.0, 0.0])))))
+_SW = f"""select y, x, (dy * cos(a) - dx * sin(a) + 60) - 0.5 as py, (dy * sin(a) + dx * cos(a) + 32) - 0.5 as px
+ from (select *, 0.6 * exp(-(dy * dy + dx * dx) / 400.0) as a from (select y, x, y + 0.5 - 60 as dy, x + 0.5 - 32 as dx from {_LINES}))"""
+query("warp_swirl", _resampled(_SW))(lambda s, d: _warped(s, d, _SWIRL))
+query("warp_sequence", _resampled(_SW.replace("select y, x, (dy", "select y, x, 2.0 + (dy")))(lambda s, d: _warped(s, d, Sequence((_SWIRL, Affine.of([[1, 0], [0, 1]], [2.0, 0.0])))))
 
 
 def _field(s, d) -> Field:
     """Displacements from the coarse raster of the table itself: 8 x 8 voxels a lattice step."""
-    coarse = aggregate.downsample(_image(s, d).cropped(Box((0, 0), (128, 64))), [8, 8], "mean")
+    coarse = aggregate.downsample(_image(s, d), [8, 8], "mean")
     lattice = coarse.df.select(F.col("y").alias("g0"), F.col("x").alias("g1"), (F.col("v") * 20).alias("d0"), (F.col("v") * -10).alias("d1"))
-    return Field(lattice, (16, 8), Affine.scale_translation((1 / 8, 1 / 8), (-0.5, -0.5)))
+    return Field(lattice, coarse.meta.shape, Affine.scale_translation((1 / 8, 1 / 8), (-0.5, -0.5)))
 
 
-_LATTICE = "lat as (select y // 8 as y, x // 8 as x, avg(v) as v from img where y < 128 group by all)"
-_FIELD = """pts as (select g.y, g.x, g.y + sum(l.v * w) * 20 as py, g.x - sum(l.v * w) * 10 as px from
+# a last block that is not full repeats its last line
+_LATTICE = f"lat as materialized (select y, x, sum(v * w) / sum(w) as v from (select y // 8 as y, x // 8 as x, v, case when y = {_NY} - 1 then 1 + (8 - {_NY} % 8) % 8 else 1 end as w from img) group by y, x)"
+_FIELD = f"""pts as materialized (select g.y, g.x, g.y + sum(l.v * w) * 20 as py, g.x - sum(l.v * w) * 10 as px from
  (select g.y, g.x, (case when k.a = 1 then g.gy - fy else 1 - (g.gy - fy) end) * (case when k.b = 1 then g.gx - fx else 1 - (g.gx - fx) end) as w, fy + k.a as ly, fx + k.b as lx from
-  (select y, x, gy, gx, least(floor(gy), 14)::bigint as fy, least(floor(gx), 6)::bigint as fx from
-   (select y, x, greatest(0, least(15, (y + 0.5) / 8 - 0.5)) as gy, greatest(0, least(7, (x + 0.5) / 8 - 0.5)) as gx from range(0, 120) a(y), range(0, 64) b(x))) g
+  (select y, x, gy, gx, least(floor(gy), top - 1)::bigint as fy, least(floor(gx), 6)::bigint as fx from
+   (select y, x, top, greatest(0, least(top, (y + 0.5) / 8 - 0.5)) as gy, greatest(0, least(7, (x + 0.5) / 8 - 0.5)) as gx from (select max(y) as top from lat), {_LINES})) g
   join (values (0, 0), (0, 1), (1, 0), (1, 1)) k(a, b) on true) g join lat l on l.y = g.ly and l.x = g.lx group by g.y, g.x)"""
 query("warp_field", with_(IMAGE, _LATTICE, _FIELD, f"s as (select p.y, p.x, sum(i.v * {_LINEAR}) as v {_CORNERS.format(n=_NY)} group by p.y, p.x)") + f"select pts.y, pts.x, {r6('coalesce(s.v, 0)', digits=5)} from pts left join s using (y, x)", 5)(
-    lambda s, d: geo.resample(_image(s, d), _TARGET, _field(s, d))
+    lambda s, d: _warped(s, d, _field(s, d))
 )
-query("net_field", with_(IMAGE, _LATTICE, _FIELD) + f"select 0::bigint as c, y, x, {r6('py - y')} from pts union all select 1, y, x, {r6('px - x')} from pts")(lambda s, d: geo.field_of(_field(s, d), _TARGET, s))
+query("net_field", with_(IMAGE, _LATTICE, _FIELD) + f"select 0::bigint as c, y, x, {r6('py - y')} from pts union all select 1, y, x, {r6('px - x')} from pts")(lambda s, d: geo.field_of(_field(s, d), _target(_image(s, d)), s))
 
 
 @query("inverse_field", digits=3)
 def _inverse(s, d):
-    """Points, brought back through a field and forward again: the error of each, which a test holds near 0."""
+    """Every voxel's middle, brought back through a field and forward again: the error of each, which a test holds near 0."""
     f = _field(s, d)
-    points = _image(s, d).read(Box((16, 8), (112, 56))).df.select("y", "x", (F.col("y") + 0.5).alias("p0"), (F.col("x") + 0.5).alias("p1"))
-    there = f.apply(InverseField(f, 12).apply(points))
+    points = _image(s, d).df.select("y", "x", (F.col("y") + 0.5).alias("p0"), (F.col("x") + 0.5).alias("p1"))
+    there = f.apply(InverseField(f).apply(points))
     return there.select("y", "x", F.greatest(F.abs(F.col("p0") - F.col("y") - 0.5), F.abs(F.col("p1") - F.col("x") - 0.5)).alias("v"))
 
 
@@ -188,20 +203,22 @@ query("warp_swirls", digits=4)(lambda s, d: Swirls.drawn(4, (0, 0, 0), (7, 100,
 _T32 = lambda a, k: f"(({a}) * {k & 0xFFFF} + (((({a}) * {k >> 16}) & 65535) << 16)) & 4294967295"
 
 
-def _hash_sql(z: str, y: str, x: str, seed: int) -> str:
-    h = f"xor(xor(xor({_T32(x, LATTICE[0])}, {_T32(y, LATTICE[1])}), {_T32(z, LATTICE[2])}), {seed * LATTICE[3] & 0xFFFFFFFF})"
-    return h
+def _hash_steps(seeds: dict[str, str], source: str, keep: str, tag: str, zyx: tuple[str, str, str]) -> list[str]:
+    """SQL of the lattice hash, step by step: columns named by ``seeds`` (name to the seed's SQL), from 0 to 1, in ``{tag}4``."""
+    z, y, x = zyx
+    mask = "& 4294967295"
+    first = ", ".join(f"xor(xor(xor({_T32(f'(({x}) {mask})', LATTICE[0])}, {_T32(f'(({y}) {mask})', LATTICE[1])}), {_T32(f'(({z}) {mask})', LATTICE[2])}), {_T32(f'({seed})', LATTICE[3])}) as {n}" for n, seed in seeds.items())
+    out = [f"{tag}0 as (select {keep}, {first} from {source})"]
+    for i, (shift, k) in enumerate(zip(SHIFTS, (*MIXERS, 1), strict=True)):
+        mixed = lambda n, s=shift: f"xor({n}, {n} >> {s})"
+        step = ", ".join(f"{_T32(mixed(n), k) if k != 1 else mixed(n)} as {n}" for n in seeds)
+        out.append(f"{tag}{i + 1} as (select {keep}, {step} from {tag}{i})")
+    return [*out, f"{tag}4 as (select {keep}, {', '.join(f'{n} / 4294967296.0 as {n}' for n in seeds)} from {tag}3)"]
 
 
 query(
     "lattice_noise",
-    with_(
-        "p as (select l_linenumber::bigint as z, l_suppkey as y, l_partkey as x from lineitem)",
-        f"a as (select *, {_hash_sql('z', 'y', 'x', 5)} as h from p)",
-        f"b as (select z, y, x, {_T32('xor(h, h >> 15)', MIXERS[0])} as h from a)",
-        f"c as (select z, y, x, {_T32('xor(h, h >> 15)', MIXERS[1])} as h from b)",
-    )
-    + f"select z, y, x, {r6('xor(h, h >> 15) / 4294967296.0')} from c",
+    with_("p as (select l_linenumber::bigint as z, l_suppkey as y, l_partkey as x from lineitem)", *_hash_steps({"h": "5"}, "p", "z, y, x", "h", ("z", "y", "x"))) + f"select z, y, x, {r6('h')} from h4",
 )(lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").cast("long").alias("z"), F.col("l_suppkey").alias("y"), F.col("l_partkey").alias("x")).select("z", "y", "x", lattice_noise(F.col("z"), F.col("y"), F.col("x"), 5).alias("v")))
 
 
@@ -210,10 +227,53 @@ def _places(s, d):
     return rows.distinct()
 
 
-for _kind in ("noise", "blobs", "shells"):
-    query(f"synthetic_{_kind}", digits=4)(lambda s, d, k=_kind: _places(s, d).select("Z", "Y", "X", getattr(synthetic, k)(3).alias("v")))
-query("synthetic_julia", digits=3)(lambda s, d: _places(s, d).select("Z", "Y", "X", synthetic.julia((512, 512, 512)).alias("v")))
-query("synthetic_mandelbulb", digits=3)(lambda s, d: _places(s, d).select("Z", "Y", "X", synthetic.mandelbulb((512, 512, 512)).alias("v")))
+_SHAPE = (512, 512, 512)
+_PLACES = "pl as materialized (select distinct (l_linenumber * 37)::bigint as Z, l_suppkey % 512 as Y, l_partkey % 512 as X from lineitem)"
+_EIGHT = "(values (0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)) e(dz, dy, dx)"
+
+
+def _spheres_sql(kind: str, seed: int) -> str:
+    size, each = synthetic.SPHERES[kind]
+    base = ", ".join(f"floor({a} / {size} - 0.5)::bigint + d{a.lower()} as g{a.lower()}" for a in "ZYX")
+    cells = f"c as (select Z, Y, X, k, {base} from pl cross join {_EIGHT} cross join range(0, {each}) r(k))"
+    seeds = {f"u{i}": f"{seed * 131 + i} + 7 * k" for i in range(5)}
+    if kind == "blobs":
+        at, r, h, far = "(g{a} + u{i}) * 128.0", f"8 + u3 * ({size / 6 - 8!r})", "90 + u4 * 130", "r * 3"
+        value = "h * exp(-d2 / (2 * r * r))"
+    else:
+        at, r, h, far = "(g{a} + 0.5 + (u{i} - 0.5) * 0.4) * 160.0", "160.0 * (0.22 + 0.15 * u3)", "200.0", "r + 10"
+        value = "h * exp(-((sqrt(d2) - r) ** 2) / 12.5) + (case when sqrt(d2) < r then 40 else 0 end)"
+    d2 = " + ".join(f"({a} - {at.format(a=a.lower(), i=i)}) ** 2" for i, a in enumerate("ZYX"))
+    drawn = f"s as (select Z, Y, X, {d2} as d2, {r} as r, {h} as h from h4)"
+    return with_(_PLACES, cells, *_hash_steps(seeds, "c", "Z, Y, X, gz, gy, gx", "h", ("gz", "gy", "gx")), drawn) + f"select Z, Y, X, {r6(f'sum(case when d2 <= ({far}) ** 2 then {value} else 0 end)', digits=4)} from s group by Z, Y, X"
+
+
+def _noise_sql(seed: int) -> str:
+    cell = ", ".join(f"floor({a} / size)::bigint + d{a.lower()} as g{a.lower()}" for a in "ZYX")
+    weight = " * ".join(f"(case when d{a.lower()} = 1 then t{a.lower()} else 1 - t{a.lower()} end)" for a in "ZYX")
+    part = ", ".join(f"(({a} % size) / size::double) ** 2 * (3 - 2 * (({a} % size) / size::double)) as t{a.lower()}" for a in "ZYX")
+    octaves = ", ".join(f"({i}, {size})" for i, size in enumerate(synthetic.NOISE_CELLS))
+    return (
+        with_(_PLACES, f"t as (select Z, Y, X, o, size, {part} from pl cross join (values {octaves}) v(o, size))", f"c as (select Z, Y, X, o, {weight} * 0.5 ** o as w, {cell} from t cross join {_EIGHT})", *_hash_steps({"u": f"({seed} + o)::bigint"}, "c", "Z, Y, X, w, gz, gy, gx", "h", ("gz", "gy", "gx")))
+        + f"select Z, Y, X, {r6('sum(w * u) / 1.5 * 80', digits=4)} from h4 group by Z, Y, X"
+    )
+
+
+def _julia_sql(seed: int) -> str:
+    c, at = synthetic.julia_constant(seed), f"/ {max(_SHAPE) / synthetic.JULIA_WIDTH!r} - {synthetic.JULIA_WIDTH / 2!r}"
+    parts = [f"j0 as (select Z, Y, X, X {at} as a, Y {at} as b, Z {at} as e, 0.0::double as d, true as near, 0 as n from pl)"]
+    for i in range(synthetic.JULIA_STEPS):
+        parts.append(f"k{i} as (select Z, Y, X, near, n, a * a - b * b - e * e - d * d + ({c[0]!r}) as a, a * b * 2 + ({c[1]!r}) as b, a * e * 2 + ({c[2]!r}) as e, a * d * 2 + ({c[3]!r}) as d from j{i})")
+        parts.append(f"l{i} as (select * replace (near and a * a + b * b + e * e + d * d < 16 as near) from k{i})")
+        parts.append(f"j{i + 1} as materialized (select Z, Y, X, near, n + near::int as n, " + ", ".join(f"case when near then {k} else 0 end as {k}" for k in "abed") + f" from l{i})")
+    return with_(_PLACES, *parts) + f"select Z, Y, X, {r6(f'n * {255.0 / synthetic.JULIA_STEPS!r}', digits=3)} from j{synthetic.JULIA_STEPS}"
+
+
+query("synthetic_noise", _noise_sql(3), 4)(lambda s, d: synthetic.with_kind(_places(s, d), "noise", _SHAPE, seed=3))
+for _kind in synthetic.SPHERES:
+    query(f"synthetic_{_kind}", _spheres_sql(_kind, 3), 4)(lambda s, d, k=_kind: synthetic.with_kind(_places(s, d), k, _SHAPE, seed=3))
+query("synthetic_julia", _julia_sql(3), 3)(lambda s, d: synthetic.with_kind(_places(s, d), "julia", _SHAPE, seed=3))
+query("synthetic_mandelbulb", digits=3)(lambda s, d: synthetic.with_kind(_places(s, d), "mandelbulb", _SHAPE))
 
 
 def _morton_sql(cols: list[str], bits: int) -> str:
@@ -270,11 +330,11 @@ query("daughters")(lambda s, d: tracking.daughters(_frames(s, d), gap=3, within=
 
 # tiles
 
-_BOXES = "tl as (select o_orderkey as tile, (o_custkey % 1000) * 7.0 as lo_y, (o_custkey % 1000) * 7.0 + 5 + o_totalprice / 50000 as hi_y, (o_orderkey % 997) * 5.0 as lo_x, (o_orderkey % 997) * 5.0 + 6 as hi_x from orders where o_orderstatus = 'F')"
+_BOXES = "tl as (select o_orderkey as tile, (o_custkey % 1000) * 7.0 as lo_y, (o_custkey % 1000) * 7.0 + 5 + o_totalprice / 50000 as hi_y, (o_orderkey % 997) * 5.0 as lo_x, (o_orderkey % 997) * 5.0 + 6 as hi_x from orders)"
 
 
 def _boxes(s, d):
-    o = s.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'")
+    o = s.read.parquet(f"{d}/orders.parquet")
     y, x = (F.col("o_custkey") % 1000) * 7.0, (F.col("o_orderkey") % 997) * 5.0
     return o.select(F.col("o_orderkey").alias("tile"), y.alias("lo_y"), (y + 5 + F.col("o_totalprice") / 50000).alias("hi_y"), x.alias("lo_x"), (x + 6).alias("hi_x"))
 
@@ -283,17 +343,27 @@ query(
     "tile_overlaps",
     with_(_BOXES) + f"select a.tile as a, b.tile as b, {r6('greatest(a.lo_y, b.lo_y)', 'lo_y')}, {r6('least(a.hi_y, b.hi_y)', 'hi_y')}, {r6('greatest(a.lo_x, b.lo_x)', 'lo_x')}, {r6('least(a.hi_x, b.hi_x)', 'hi_x')} from tl a join tl b on a.tile < b.tile and a.lo_y < b.hi_y and b.lo_y < a.hi_y and a.lo_x < b.hi_x and b.lo_x < a.hi_x",
 )(lambda s, d: stitching.tile_overlaps(_boxes(s, d), ("y", "x"), cell=32.0))
+
+
+def _halves(s, d) -> list:
+    """The image's left and right part, with columns in common, the right one brighter."""
+    image = _image(s, d)
+    n = image.meta.shape[0]
+    left, right = image.cropped(Box((0, 0), (n, 40))), image.cropped(Box((0, 28), (n, 64)))
+    return [(left, (0, 0)), (Grid(right.df.withColumn("v", F.col("v") * 1.5), right.meta), (0, 28))]
+
+
 _COS = "(0.5 - 0.5 * cos(greatest(0, least(8, {d})) * pi() / 8))"
 query(
     "fuse_tiles",
     with_(
         IMAGE,
-        "t as (select y, x, v, 40 as n, x as tx from img where x < 40 and y < 120 union all select y, x, v * 1.5, 36, x - 28 from img where x >= 28 and y < 120)",
-        f"w as (select y, x, v, {_COS.format(d='least(y + 0.5, 120 - 0.5 - y)')} * {_COS.format(d='least(tx + 0.5, n - 0.5 - tx)')} as w from t)",
+        "t as (select y, x, v, 40 as n, x as tx from img where x < 40 union all select y, x, v * 1.5, 36, x - 28 from img where x >= 28)",
+        f"w as (select y, x, v, {_COS.format(d=f'least(y + 0.5, {_NY} - 0.5 - y)')} * {_COS.format(d='least(tx + 0.5, n - 0.5 - tx)')} as w from t)",
     )
     + f"select y, x, {r6('sum(v * w) / sum(w)', digits=5)} from w group by y, x",
     5,
-)(lambda s, d: stitching.fuse([(_image(s, d).cropped(Box((0, 0), (120, 40))), (0, 0)), (Grid(_image(s, d).cropped(Box((0, 28), (120, 64))).df.withColumn("v", F.col("v") * 1.5), _image(s, d).cropped(Box((0, 28), (120, 64))).meta), (0, 28))]))
+)(lambda s, d: stitching.fuse(_halves(s, d)))
 
 
 def _points(s, d, tile: int):

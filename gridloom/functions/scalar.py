@@ -8,23 +8,26 @@ _MASK32 = 0xFFFFFFFF
 
 
 def times32(a: Column, k: int) -> Column:
-    """Product modulo 2**32 of a column and a constant, without overflow: the constant in two halves of 16 bits."""
-    low, high = k & 0xFFFF, k >> 16
-    return (a * low + F.shiftleft((a * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_MASK32))
+    """Product modulo 2**32 of a column (below 2**32) and a constant, which is taken signed so that nothing overflows."""
+    return (a * F.lit(k - (1 << 32) if k >> 31 else k).cast("long")).bitwiseAND(F.lit(_MASK32))
 
 
-#: Multipliers of the lattice hash, for x, y, z and seed, and of its two mixing steps.
-LATTICE = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
-MIXERS = (0x2C1B3C6D, 0x297A2D39)
+#: Multipliers of the lattice hash, for x, y, z and seed; its shifts, and the multipliers between them.
+LATTICE = (73856093, 19349663, 83492791, 2654435761)
+SHIFTS = (16, 15, 16)
+MIXERS = (0x7FEB352D, 0x846CA68B)
 
 
-def lattice_noise(z: Column, y: Column, x: Column, seed: int = 0) -> Column:
+def lattice_noise(z: Column, y: Column, x: Column, seed: int | Column = 0) -> Column:
     """A number from 0 to 1 for a lattice point: an avalanche hash of 32 bits."""
-    h = times32(x.bitwiseAND(F.lit(_MASK32)), LATTICE[0]).bitwiseXOR(times32(y.bitwiseAND(F.lit(_MASK32)), LATTICE[1]))
-    h = h.bitwiseXOR(times32(z.bitwiseAND(F.lit(_MASK32)), LATTICE[2])).bitwiseXOR(F.lit(seed * LATTICE[3] & _MASK32))
-    for k in MIXERS:
-        h = times32(h.bitwiseXOR(F.shiftright(h, 15)), k)
-    h = h.bitwiseXOR(F.shiftright(h, 15))
+    whole = lambda c: c.cast("long").bitwiseAND(F.lit(_MASK32))
+    own = F.lit(seed * LATTICE[3] & _MASK32).cast("long") if isinstance(seed, int) else times32(whole(seed), LATTICE[3])
+    h = own
+    for c, k in zip((x, y, z), LATTICE, strict=False):
+        h = h.bitwiseXOR(times32(whole(c), k))
+    for shift, k in zip(SHIFTS, (*MIXERS, 1), strict=True):
+        h = h.bitwiseXOR(F.shiftright(h, shift))
+        h = times32(h, k) if k != 1 else h
     return h / F.lit(float(1 << 32))
 
 

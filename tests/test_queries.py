@@ -11,7 +11,7 @@ from gridloom import catalogue
 
 DIR = "/root/testdata/sf0.001"
 #: A few of each kind; the driver compares them all.
-SOME = ["box_read", "stack_channels", "threshold", "gaussian", "dilate", "downsample_mode", "contacts", "spots", "overlap_tent", "warp_field", "track_step", "tile_overlaps", "pipeline_box", "demand_order"]
+SOME = ["box_read", "stack_channels", "threshold", "gaussian", "dilate", "downsample_mode", "contacts", "spots", "overlap_tent", "warp_field", "track_step", "tile_overlaps", "pipeline_box", "demand_order", "lattice_noise", "synthetic_noise", "synthetic_blobs", "synthetic_shells", "synthetic_julia", "net_field", "fuse_tiles"]
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,12 @@ def test_nearest_points_takes_all_orders(spark):
     assert set(got.id) == set(o.o_orderkey)
 
 
+def test_a_field_is_undone(spark):
+    got = catalogue.QUERIES["inverse_field"](spark, DIR).toPandas()
+    assert len(got) == 64 * (1 + spark.read.parquet(f"{DIR}/embeddings.parquet").agg({"vec_id": "max"}).first()[0])
+    assert got.v.between(0, 0.01).all()
+
+
 def test_stream_agrees_with_the_table(spark, tmp_path):
     from pyspark.sql import functions as F
 
