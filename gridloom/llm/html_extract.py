@@ -277,6 +277,7 @@ def classes_of(reps: DataFrame, share: float = SHARE, least_pages: int = LEAST_P
     sizes = reps.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     rows = reps.select("host", "sig", F.explode(F.arrays_zip("toks", "counts", "places")).alias("t")).select("host", "sig", "t.*")
     held = rows.groupBy("host", "toks").agg(F.expr("bit_xor(xxhash64(sig, counts))").alias("vector"), F.count("*").alias("support"), F.sum("counts").alias("n"), F.min(F.struct("sig", "places")).alias("first"))  # a class has one such page
+    held = held.where(F.col("support") >= least_pages * share)  # no host has so few pages: most texts are on one, and go no further
     enough = held.join(sizes, "host").where((F.col("support") >= F.col("pages") * share) & (F.col("n") == F.col("support")))
     # tokens that enough pages hold are few: no more than 1 / share pages' worth
     one = enough.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("first", "toks", "vector", "support"))).alias("t"))
