@@ -206,7 +206,12 @@ def _angle(cosine: Column) -> Column:
 def _dealt(members: DataFrame, block: int) -> DataFrame:
     """``members`` (of ``component``) once for each pair of blocks of their component that they are in: ``key``, ``side`` (2: a block with itself)."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return _in_pairs(members.join(sizes, "component"))
+
+
+def _in_pairs(members: DataFrame) -> DataFrame:
+    """``members`` of components in so many ``blocks``, as ``_dealt`` gives them."""
+    placed = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -234,7 +239,8 @@ def hidden_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Da
         p, q = ids[left[p]], ids[right[q]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["p", "q"])
 
-    keyed = _dealt(balls.withColumn("component", F.lit(0)), 4 * block).select("key", "side", "id", "radius", "v")
+    blocks = max(1, -(-balls.count() // (4 * block)))
+    keyed = _in_pairs(balls.select("*", F.lit(0).alias("component"), F.lit(blocks).alias("blocks"))).select("key", "side", "id", "radius", "v")
     pairs = stored(keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_by_key(near), "p long, q long").distinct(), "near")
 
     def towards(own: str, other: str, side: int) -> DataFrame:
