@@ -20,7 +20,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 STEPS = 60
 #: Documents rounded in one task, at most about.
-ROUNDED = 20_000
+ROUNDED = 2_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -78,7 +78,7 @@ def tilts(sizes: DataFrame, aims: DataFrame, most: float = MOST, steps: int = ST
         middle = F.coalesce((F.col("low") + F.col("high")) / 2, F.col("low") * 2 + 1, F.col("high") * 2 - 1)
         moved = F.when(F.col("gap") <= near, F.col("tilt")).when(inside, newton).otherwise(middle)
         state = stored(next_.withColumn("tilt", F.coalesce(moved, F.col("tilt"))).drop("taken", "slope"), "tilts")
-    return state.select("source", "source_size", "target", F.when(~F.col("full"), F.col("tilt") / F.nullif(F.col("mean"), F.lit(0.0))).alias("tilt"), "full", "docs")
+    return state.select("source", "source_size", "target", F.when(~F.col("full"), F.round("tilt", 9) / F.nullif(F.col("mean"), F.lit(0.0))).alias("tilt"), "full", "docs")
 
 
 def _copies(most: int):
@@ -112,7 +112,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST)
     ride along in ``row``; an empty table gives an empty one.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"])
-    rows = stored(docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size")), "sizes")
+    content = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]  # maps have no hash
+    rows = stored(docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"), F.xxhash64(*content).alias("content")), "sizes")
     sizes = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     state = tilts(sizes, targets(sources, weights, most), most)
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST)
     rated = rows.join(named, rows["source"].eqNullSafe(named["__s"])).drop("__s")
     rate = F.when(F.col("full"), F.lit(float(most))).otherwise(_rate(F.coalesce("tilt", F.lit(0.0)), F.col("size"), most))
     rated = rated.withColumns({"rate": rate, "share": F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("docs") / ROUNDED)))})
-    dealt = rated.repartition("source", "share").sortWithinPartitions("source", "share", F.desc("size"), "doc_id")
+    dealt = rated.repartition("source", "share").sortWithinPartitions("source", "share", F.desc("size"), "doc_id", "content")
     row = rows.schema["row"].dataType.simpleString()
     return dealt.select(*_KEPT, "source", "share", "rate").mapInArrow(_copies(most), f"row {row}, size long, source_size long, target double, copies long")
 

@@ -95,7 +95,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 2
     m = measures(F.col("text"))
     ours = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
     rest = [c for c in docs.columns if c.lower() not in ours]
-    out = docs.select(*rest, m["by_word"].alias("__w"), m["by_line"].alias("__l"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_bangs"].alias("__bangs"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest"), m["by_word"].alias("__w"), m["by_line"].alias("__l"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_bangs"].alias("__bangs"))
     n = F.col("__w.n_words")
     ratios = {
         "mean_word_length": F.col("word_chars") / F.nullif(n, F.lit(0)),
@@ -112,7 +112,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 2
             passed = passed & (ratios[r.measure] <= r.most)
     failed = (n < least_words) | (F.col("__w.n_repeat_words") * 100 > n * round(100 * most_repeat))
     return out.select(
-        *rest,
+        "__rest.*",
         n.alias("n_words"),
         "word_chars",
         "n_symbols",

@@ -266,6 +266,19 @@ def test_mixing_meets_targets(spark):
         assert abs((own["size"] * own.copies).sum() - target[s]) <= 0.01 * target[s] + 20
 
 
+def test_mixing_gives_the_same_however_rows_are_parted(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), " ".join(["w"] * rng.randint(0, 9)) + rng.choice("xyz "), "en", rng.choice(["a", "b", None]), rng.randrange(3)) for _ in range(600)]
+    first = None
+    for n in (1, 5):
+        shuffled = rows[:]
+        rng.shuffle(shuffled)
+        out = mixing.mix(spark.createDataFrame(shuffled, SCHEMA).repartition(n)).select("row.doc_id", "row.source", "row.n_chars", "size", "copies").collect()
+        got = sorted(map(str, out))
+        first = first or got
+        assert got == first
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert mixing.mix(docs_of(spark, [None, ""])).count() == 2
@@ -281,6 +294,10 @@ def test_quality_rules_are_their_sql(spark, texts):
     assert order(got).equals(order(want))
     clash = df.withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit(1))
     assert quality_rules.keep_good(clash).columns == clash.columns
+    odd = df.select("doc_id", "text", *[F.lit(7).alias(c) for c in ("__w", "__l", "__bangs", "__rest", "a.b")])
+    rows = quality_rules.score(odd)
+    assert {tuple(r) for r in rows.select("__w", "__l", "__bangs", "__rest", "`a.b`").collect()} == {(7,) * 5}
+    assert {r["doc_id"]: r["kept"] for r in rows.collect()} == dict(zip(got.doc_id, got.kept, strict=True))
 
 
 def test_classifier_on_held_out_rows(spark):
