@@ -326,6 +326,20 @@ query(
     )
     + "select t0, first, t, label from tr",
 )(lambda s, d: tracking.follow(_frames(s, d)))
+query(
+    "mothers",
+    with_(
+        RASTER, _FRAMES, _SIZES, _SHARED, _STEP,
+        "tr as (select t as t0, label as first, t, label from sz where not exists (select 1 from st where st.t + 1 = sz.t and st.b = sz.label) union all select t0, first, tr.t + 1, st.b from tr join st on st.t = tr.t and st.a = tr.label)",
+        "ts as (select tr.*, sz.voxels from tr join sz using (t, label))",
+        "en as (select t0, first, max(t) + 1 as lost, arg_max(voxels, t) as at_last from ts group by t0, first)",
+        "mo as (select ts.t0, ts.first, en.lost, en.at_last, ts.t, ts.label, ts.voxels from ts join en using (t0, first) where en.lost < 30 and ts.t >= en.lost - 12 qualify row_number() over (partition by ts.t0, ts.first order by ts.voxels desc, ts.t) = 1)",
+    )
+    + "select t0, first, lost, t, label, voxels from mo where at_last <= voxels * 0.95",
+)(lambda s, d: tracking.mothers(_frames(s, d), divided=0.95))
+query("search_boxes", with_(RASTER, _FRAMES) + "select t, v as label, greatest(min(y) - 2, 0) as from_y, least(max(y) + 3, 24) as to_y, greatest(min(x) - 2, 0) as from_x, least(max(x) + 3, 32) as to_x from fr where v > 0 group by t, v")(
+    lambda s, d: tracking.boxes_around(tracking.measures(_frames(s, d)), {"y": 24, "x": 32}, 2).select("t", "label", "from_y", "to_y", "from_x", "to_x")
+)
 query("daughters")(lambda s, d: tracking.daughters(_frames(s, d), gap=3, within=6.0))
 
 # tiles

@@ -68,17 +68,44 @@ def daughters(labels: Grid, gap: int = 24, within: float = 18.0, least: float =
 def follow(labels: Grid, max_steps: int = 64) -> DataFrame:
     """Tracks: every label from its first frame on, step by step (``t0``, ``first``, ``t``, ``label``).
 
-    The frontier is joined with the step table once a frame; what has ended drops out.
+    Steps are doubled: what is known up to n frames of a track, moved on by the table of n steps, is known up to 2 n. So
+    a track of n frames takes log2 n rounds.
     """
-    link = stored(steps(labels).select("t", "a", "b"), "steps")
+    jump = stored(steps(labels).select("t", "a", "b"), "steps")
     known = measures(labels).select("t", F.col("label").alias("a"))
-    starts = known.join(link.select((F.col("t") + 1).alias("t"), F.col("b").alias("a")), ["t", "a"], "left_anti")
-    front = stored(starts.select(F.col("t").alias("t0"), F.col("a").alias("first"), "t", F.col("a").alias("label")), "front")
-    out = front
-    for _ in range(max_steps):
-        front = front.join(link, (front["t"] == link["t"]) & (front["label"] == link["a"])).select("t0", "first", (front["t"] + 1).alias("t"), F.col("b").alias("label"))
-        front = stored(front, "front")
-        if front.isEmpty():
+    starts = known.join(jump.select((F.col("t") + 1).alias("t"), F.col("b").alias("a")), ["t", "a"], "left_anti")
+    out = stored(starts.select(F.col("t").alias("t0"), F.col("a").alias("first"), "t", F.col("a").alias("label")), "tracks")
+    far = 1
+    while True:
+        further = stored(out.join(jump.withColumnRenamed("a", "label"), ["t", "label"]).select("t0", "first", (F.col("t") + far).alias("t"), F.col("b").alias("label")), "tracks")
+        if further.isEmpty():
             return out
-        out = out.unionByName(front)
-    raise RuntimeError(f"tracks go on past {max_steps} frames: raise max_steps")
+        if not further.where(F.col("t") - F.col("t0") > max_steps).isEmpty():
+            raise RuntimeError(f"tracks go on past {max_steps} frames: raise max_steps")
+        out = out.unionByName(further)
+        onward = jump.select((F.col("t") - far).alias("t"), F.col("a").alias("b"), F.col("b").alias("end"))
+        jump = stored(jump.join(onward, ["t", "b"]).select("t", "a", F.col("end").alias("b")), "steps")
+        far *= 2
+
+
+def boxes_around(found: DataFrame, shape: dict[str, int], margin: int) -> DataFrame:
+    """``found`` (as ``measures`` gives it) with the box to look in for each object in the next frame: its own, ``margin`` wider, within the array."""
+    grown = {}
+    for a, n in shape.items():
+        grown[f"from_{a}"] = F.greatest(F.col(f"lo_{a}") - margin, F.lit(0))
+        grown[f"to_{a}"] = F.least(F.col(f"hi_{a}") + margin, F.lit(n))
+    return found.withColumns(grown)
+
+
+def mothers(labels: Grid, frames: int = 12, divided: float = DIVIDED, max_steps: int = 64) -> DataFrame:
+    """Objects that were lost after they had collapsed, as those do that divide: ``t0``, ``first`` (the track), ``lost``, ``t``, ``label``, ``voxels``.
+
+    A track is lost in the frame after its last, if there is such a frame. It had collapsed if its last volume is ``divided`` of the largest
+    in the ``frames`` before, or less; the row is the object at that largest, the earliest of equals.
+    """
+    last = labels.meta.shape[labels.axes.index("t")]
+    sized = follow(labels, max_steps).join(measures(labels).select("t", "label", "voxels"), ["t", "label"])
+    ends = sized.groupBy("t0", "first").agg((F.max("t") + 1).alias("lost"), F.max_by("voxels", "t").alias("at_last")).where(F.col("lost") < last)
+    recent = sized.join(ends, ["t0", "first"]).where(F.col("t") >= F.col("lost") - frames)
+    most = recent.groupBy("t0", "first", "lost", "at_last").agg(F.max_by(F.struct("t", "label", "voxels"), F.struct("voxels", -F.col("t"))).alias("m"))
+    return most.where(F.col("at_last") <= F.col("m.voxels") * divided).select("t0", "first", "lost", "m.*")

@@ -8,7 +8,7 @@ from gridloom.geometry.resample import resample
 from gridloom.geometry.transforms import Affine, Bijection, ByDimension, Scene, Sequence, UnsupportedTransform, parse, simplified
 from gridloom.grid import Grid
 from gridloom.meta import ArrayMeta, Box, level_box, level_for, nearest_level
-from gridloom.operators import aggregate, axes, overlap, pointwise, segment, stencil
+from gridloom.operators import aggregate, axes, overlap, pointwise, segment, stencil, tracking
 from gridloom.plans.pipeline import Pipeline, Registry, Spec
 from gridloom.sources import stores
 
@@ -192,3 +192,40 @@ def test_affine_by_moments_undoes_a_shift(spark):
 
     t, score = affine_by_moments(grid(spark, blob(11, 12)), grid(spark, blob(13, 15)))
     assert score > 0.95 and np.allclose(np.array(t.matrix) @ [11, 12] + t.offset, [13, 15], atol=1.0)
+
+
+def test_base_units():
+    m = ArrayMeta(("t", "c", "z", "y"), (1, 1, 1, 1), voxel_size=(2.0, 1.0, 4.0, 3.0), units=("min", "", "micrometer", "furlong"))
+    assert m.dimensions() == {"t": (120.0, "s"), "c": (1.0, ""), "z": (4.0 * 1e-6, "m"), "y": (3.0 * 1e-9, "m")}
+
+
+def test_boxes_by_axis():
+    box = Box((2, -3), (9, 4))
+    assert box.pad((1, 2)) == Box((1, -5), (10, 6)) and box.clip((5, 3)) == Box((2, 0), (5, 3)) and box.clip((1, 9)).empty
+    assert box.shape == (7, 7) and Box((3,), (1,)).shape == (0,) and Box.of_chunk((1, 0), (4, 5), (6, 3)) == Box((4, 0), (6, 3))
+    with pytest.raises(ValueError):
+        Box((1,), (2, 3))
+
+
+def test_mothers_had_collapsed(spark):
+    frames = np.zeros((8, 6, 6), int)
+    for t, n in enumerate((4, 5, 5, 2)):
+        frames[t, :n, :4] = 1  # grows, collapses and is lost
+    frames[:5, 5, 5] = 2  # is lost as it was
+    frames[:, 4:, 0] = 3  # stays
+    found = tracking.mothers(grid(spark, frames, kind="label", names=("t", "y", "x")))
+    assert [(r["t0"], r["first"], r["lost"], r["t"], r["label"]) for r in found.collect()] == [(0, 1, 4, 1, 1)]
+
+
+def test_tracks_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    frames = np.zeros((21, 1, 40), int)
+    for k in range(6):
+        begin, end = sorted(rng.integers(0, 22, 2))
+        frames[begin:end, 0, 6 * k : 6 * k + 4] = k + 1
+    g = grid(spark, frames, kind="label", names=("t", "y", "x"))
+    got = {tuple(r) for r in tracking.follow(g).select("t0", "first", "t", "label").collect()}
+    want = {(int(np.flatnonzero((frames == k).any((1, 2)))[0]), k, int(t), k) for k in range(1, 7) for t in np.flatnonzero((frames == k).any((1, 2)))}
+    assert got == want
+    with pytest.raises(RuntimeError):
+        tracking.follow(g, max_steps=2)
