@@ -13,19 +13,21 @@ from ..grid import Grid
 def tile_overlaps(tiles: DataFrame, axes: tuple[str, ...], margin: float = 0.0, cell: float | None = None) -> DataFrame:
     """Pairs of tiles (``tile``, ``lo_<axis>``, ``hi_<axis>``) whose boxes, grown by ``margin``, overlap: ``a`` < ``b`` and the overlap's box.
 
-    Tiles are binned by cells of the first axis, so that only tiles of one cell are compared.
+    Tiles are binned by cells of all axes, so that only tiles of one cell are compared; a pair counts in the cell where its overlap begins.
     """
-    first = axes[0]
     cell = cell or 256.0
     grown = tiles.select("tile", *[(F.col(f"lo_{a}") - margin).alias(f"lo_{a}") for a in axes], *[(F.col(f"hi_{a}") + margin).alias(f"hi_{a}") for a in axes])
-    binned = grown.withColumn("cell", F.explode(F.sequence(F.floor(F.col(f"lo_{first}") / cell), F.floor(F.col(f"hi_{first}") / cell))))
-    left = binned.select("cell", F.col("tile").alias("a"), *[F.col(c).alias(f"a_{c}") for c in grown.columns[1:]])
-    right = binned.select("cell", F.col("tile").alias("b"), *[F.col(c).alias(f"b_{c}") for c in grown.columns[1:]])
-    met = left.join(right, "cell").where("a < b")
-    for ax in axes:
+    binned, keys = grown, [f"cell_{a}" for a in axes]
+    for ax, key in zip(axes, keys, strict=True):
+        binned = binned.withColumn(key, F.explode(F.sequence(F.floor(F.col(f"lo_{ax}") / cell), F.floor(F.col(f"hi_{ax}") / cell))))
+    left = binned.select(*keys, F.col("tile").alias("a"), *[F.col(c).alias(f"a_{c}") for c in grown.columns[1:]])
+    right = binned.select(*keys, F.col("tile").alias("b"), *[F.col(c).alias(f"b_{c}") for c in grown.columns[1:]])
+    met = left.join(right, keys).where("a < b")
+    for ax, key in zip(axes, keys, strict=True):
         met = met.where((F.col(f"a_lo_{ax}") < F.col(f"b_hi_{ax}")) & (F.col(f"b_lo_{ax}") < F.col(f"a_hi_{ax}")))
+        met = met.where(F.floor(F.greatest(f"a_lo_{ax}", f"b_lo_{ax}") / cell) == F.col(key))
     boxes = [c for ax in axes for c in (F.greatest(f"a_lo_{ax}", f"b_lo_{ax}").alias(f"lo_{ax}"), F.least(f"a_hi_{ax}", f"b_hi_{ax}").alias(f"hi_{ax}"))]
-    return met.select("a", "b", *boxes).distinct()
+    return met.select("a", "b", *boxes)
 
 
 def nearest(points: DataFrame, axes: tuple[str, ...], k: int, reach: float) -> DataFrame:
