@@ -12,7 +12,7 @@ from .geometry import resample as geo
 from .geometry.transforms import Affine, ByDimension, Field, InverseField, Sequence, Swirl, Swirls
 from .grid import Grid
 from .meta import ArrayMeta, Box
-from .operators import aggregate, meshes, overlap, pointwise, segment, stitching, tracking
+from .operators import aggregate, axes, meshes, overlap, pointwise, segment, stitching, tracking
 from .sources import synthetic, tables
 
 
@@ -196,6 +196,30 @@ query(
     .apply(tables.event_raster(s, d).df.select("t", "x", F.col("t").cast("double").alias("p0"), F.col("x").cast("double").alias("p1"), F.col("v").alias("p2")))
     .select("t", "x", "p0", "p1", "p2")
 )
+_LAT2 = f"lat2 as materialized (select y // 2 as y, x // 2 as x, sum(v * w) / sum(w) as v from (select *, case when y = {_NY} - 1 then 1 + {_NY} % 2 else 1 end as w from img) group by all)"
+
+
+def _between(table: str, cy: str, ny: str, cx: str, nx: str) -> str:
+    """SQL of linear interpolation in ``table`` at (cy, cx) of each voxel of ``out``, edges repeated."""
+    return f"""pt as (select y, x, {cy} as py, {cx} as px from out_),
+ nb as (select pt.*, a, b, greatest(0, least({ny} - 1, floor(py) + a)) as gy, greatest(0, least({nx} - 1, floor(px) + b)) as gx from pt, range(0, 2) p(a), range(0, 2) q(b)),
+ got as (select nb.y, nb.x, sum(l.v * (case when a = 1 then py - floor(py) else 1 - (py - floor(py)) end) * (case when b = 1 then px - floor(px) else 1 - (px - floor(px)) end)) as v from nb join {table} l on l.y = nb.gy and l.x = nb.gx group by nb.y, nb.x)"""
+
+
+query(
+    "stack_onto",
+    with_(IMAGE, _LAT2, "out_ as (select y, x from img)", _between("lat2", "(y + 0.5) / 2 - 0.5", f"(({_NY} + 1) // 2)", "(x + 0.5) / 2 - 0.5", "32")) + f"select 0::bigint as c, y, x, {r6('v')} from img union all select 1, y, x, {r6('v')} from got",
+)(lambda s, d: axes.stack_onto([_image(s, d), aggregate.downsample(_image(s, d), [2, 2], "mean")]))
+query(
+    "resampled_level",
+    with_(
+        IMAGE,
+        f"ly as materialized (select y // 2 as y, x, sum(v * w) / sum(w) as v from (select *, case when y = {_NY} - 1 then 1 + {_NY} % 2 else 1 end as w from img) group by all)",
+        "out_ as (select y, k as x from (select distinct y from ly), range(0, 128) r(k))",
+        _between("ly", "y", f"(({_NY} + 1) // 2)", "(x + 0.5) / 2 - 0.5", "64"),
+    )
+    + f"select y, x, {r6('v')} from got",
+)(lambda s, d: geo.at_voxel_size(_image(s, d), (2.0, 0.5)))
 query("warp_swirls", digits=4)(lambda s, d: Swirls.drawn(4, (0, 0, 0), (7, 100, 84), 20, 0.8, 3).apply(tables.shipping_volume(s, d).df.select("z", "y", "x", *[F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate("zyx")])))
 
 # formulas at places that tables give
@@ -380,6 +404,18 @@ query(
 )(lambda s, d: stitching.fuse(_halves(s, d)))
 
 
+query(
+    "fuse_box",
+    with_(
+        IMAGE,
+        "t as (select y, x, v, 40 as n, x as tx from img where x < 40 union all select y, x, v * 1.5, 36, x - 28 from img where x >= 28)",
+        f"w as (select y, x, v, {_COS.format(d=f'least(y + 0.5, {_NY} - 0.5 - y)')} * {_COS.format(d='least(tx + 0.5, n - 0.5 - tx)')} as w from t)",
+    )
+    + f"select y, x, {r6('sum(v * w) / sum(w)', digits=5)} from w where x >= 20 and x < 36 group by y, x",
+    5,
+)(lambda s, d: stitching.fuse(_halves(s, d), box=Box((0, 20), (_image(s, d).meta.shape[0], 36))))
+
+
 def _points(s, d, tile: int):
     """Points of the plane from orders; tile 1 is tile 0 moved by (12, -7)."""
     o = s.read.parquet(f"{d}/orders.parquet")
@@ -412,3 +448,39 @@ _BAND = f"bd as (select a.y, a.x from img a cross join range(-2, 3) p(k) cross j
 query("mesh_octree", with_(IMAGE, _BAND, "e as (select l.k as level, y // (8 << l.k) as y, x // (8 << l.k) as x from bd cross join range(0, 3) l(k))") + f"select level::bigint as level, {_morton_sql(['y', 'x'], 16)} as \"order\", y, x, count(*) as surface from e group by all")(
     lambda s, d: meshes.octree_nodes(_mask(s, d), 8, 3)
 )
+
+
+def _solid(s, d) -> Grid:
+    return pointwise.threshold(tables.shipping_volume(s, d), 30.0)
+
+
+def _corners(df):
+    return df.select("z", "y", "x", *[F.col(k)[i].alias(f"{k}{a}") for k in "pqr" for i, a in enumerate("zyx")])
+
+
+_CELL_TRIANGLES = ", ".join("(" + ", ".join(map(str, (code, *[v for p in t for v in p]))) + ")" for code in range(1, 255) for t in meshes.cell_triangles(code))
+_NAMES = [f"{k}{a}" for k in "pqr" for a in "zyx"]
+query(
+    "mesh_surface",
+    with_(
+        VOLUME,
+        "st as materialized (select z, y, x from vol where v >= 30)",
+        "cl as (select z - a as z, y - b as y, x - c as x, sum(1 << (4 * a + 2 * b + c)) as code from st, range(0, 2) i(a), range(0, 2) j(b), range(0, 2) k(c) group by all)",
+        f"tb(code, {', '.join(f'h{n}' for n in _NAMES)}) as (values {_CELL_TRIANGLES})",
+    )
+    + f"select z, y, x, {', '.join(f'({n[1]} + h{n} / 2.0)::double as {n}' for n in _NAMES)} from cl join tb using (code)",
+)(lambda s, d: _corners(meshes.surface(_solid(s, d))))
+query(
+    "mesh_fragments",
+    with_(
+        VOLUME,
+        "st as materialized (select z, y, x from vol where v >= 30)",
+        "cl as (select z - a as z, y - b as y, x - c as x, sum(1 << (4 * a + 2 * b + c)) as code from st, range(0, 2) i(a), range(0, 2) j(b), range(0, 2) k(c) group by all)",
+        f"tb(code, {', '.join(f'h{n}' for n in _NAMES)}) as (values {_CELL_TRIANGLES})",
+        f"tr as materialized (select greatest(z, 0) // 7 as chunk_z, greatest(y, 0) // 25 as chunk_y, greatest(x, 0) // 28 as chunk_x, {', '.join(f'2 * {n[1]} + h{n} as {n}' for n in _NAMES)} from cl join tb using (code))",
+        "vx as (" + " union ".join(f"select chunk_z, chunk_y, chunk_x, {k}z as z, {k}y as y, {k}x as x from tr" for k in "pqr") + ")",
+        "vn as (select chunk_z, chunk_y, chunk_x, count(*) as vertices from vx group by all)",
+        "tn as (select chunk_z, chunk_y, chunk_x, count(*) as triangles from tr group by all)",
+    )
+    + "select chunk_z, chunk_y, chunk_x, vertices, triangles, 4 + 12 * vertices + 12 * triangles as bytes from vn join tn using (chunk_z, chunk_y, chunk_x)",
+)(lambda s, d: meshes.fragments(_solid(s, d)).select("chunk_z", "chunk_y", "chunk_x", "vertices", "triangles", F.length("data").alias("bytes")))

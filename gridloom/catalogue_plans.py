@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .catalogue import _N, IMAGE, VOLUME, _both, _smooth, query, r6, with_
 from .grid import Grid
 from .meta import Box
+from .operators.aggregate import pyramid
 from .plans.pipeline import Pipeline, Registry, Spec, coverage
-from .sources import stores, tables
+from .sources import images, stores, tables
 from .storage import shared_folder
 from .streaming import demand
 
@@ -67,6 +69,31 @@ query("materialize_zarr3", _BOX)(_round_trip("zarr3", "zstd"))
 query("materialize_n5", _BOX)(_round_trip("n5", "gzip"))
 
 query("materialize_precomputed", with_(VOLUME) + f"select z, y, x, {r6('v')} from vol where z >= 1 and z < 6 and y >= 5 and y < 60 and x >= 3 and x < 70")(_round_trip("precomputed", "none"))
+
+
+def _mean2(source: str, rows: str, name: str) -> str:
+    """SQL of means of 2 x 2 voxels, the last line repeated where lines are odd."""
+    return f"{name} as materialized (select y // 2 as y, x // 2 as x, sum(v * w) / sum(w) as v from (select *, case when y = {rows} - 1 then 1 + {rows} % 2 else 1 end as w from {source}) group by all)"
+
+
+def _pyramid(form: str, compressor: str):
+    def run(s, d):
+        path = f"{shared_folder(s)}/gridloom/{s.sparkContext.applicationId}/levels-{uuid.uuid4().hex[:12]}"
+        images.write_levels(pyramid(_image(s, d), 3), path, form, compressor)
+        levels = images.open_levels(s, path)
+        # voxel sizes and places come back from the store's metadata
+        parts = [g.df.select(F.lit(k).cast("long").alias("level"), (F.col("y") * g.meta.voxel_size[0] + g.meta.translation[0]).alias("at_y"), "y", "x", "v") for k, g in enumerate(levels)]
+        return reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
+_PYRAMID = (
+    with_(IMAGE, _mean2("img", _N, "l1"), _mean2("l1", f"(({_N} + 1) // 2)", "l2"))
+    + " union all ".join(f"select {k}::bigint as level, (y * {1 << k} + {(1 << k) / 2})::double as at_y, y, x, {r6('v')} from {t}" for k, t in enumerate(("img", "l1", "l2")))
+)
+query("materialize_levels_zarr2", _PYRAMID)(_pyramid("zarr2", "gzip"))
+query("materialize_levels_zarr3", _PYRAMID)(_pyramid("zarr3", "zstd"))
 _REQUESTS = "rq as (select event_id as seq, (user_id % 40)::varchar as key, (event_id % 3)::bigint as level, case when event_type = (select max(event_type) from events) then 'cancel' else 'ask' end as kind, (event_id % 4)::varchar as claim from events)"
 
 

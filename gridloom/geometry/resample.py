@@ -11,7 +11,8 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..meta import ArrayMeta
+from ..meta import ArrayMeta, same_grid
+from ..operators.aggregate import downsample
 from .transforms import Affine, Sequence, Transform
 
 
@@ -65,6 +66,22 @@ def resample(source: Grid, target: ArrayMeta, backward: Transform | None = None,
     return Grid(both.groupBy(*target.axes).agg(v.alias("v")), replace(target, dtype=source.meta.dtype, kind=source.meta.kind))
 
 
+def at_voxel_size(grid: Grid, voxel_size: tuple[float, ...]) -> Grid:
+    """The same extent in other voxels, sizes given for the last axes.
+
+    Where an axis shrinks by a whole number, voxels are means of blocks (the last repeats its edge); the rest is linear. Labels and
+    masks take the nearest voxel.
+    """
+    m = grid.meta
+    size = (*m.voxel_size[: len(m.axes) - len(voxel_size)], *voxel_size)
+    target = m.rescaled(size)
+    by = [b / a for a, b in zip(m.voxel_size, size, strict=True)]
+    whole = [round(r) if r > 1.5 and abs(r - round(r)) < 1e-6 else 1 for r in by]
+    if m.kind not in ("label", "mask") and any(f > 1 for f in whole):
+        grid = downsample(grid, whole, "mean")
+    return grid if same_grid(grid.meta, target) else resample(grid, target)
+
+
 def field_of(transform: Transform, target: ArrayMeta, spark, axis: str = "c") -> Grid:
     """A transform's displacements on a grid, a channel a component on a new leading axis."""
     n_voxels = 1

@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..geometry.resample import resample
 from ..grid import Grid
-from ..meta import ArrayMeta
+from ..meta import ArrayMeta, same_grid
 
 
 def select(grid: Grid, pins: dict[str, int]) -> Grid:
@@ -50,11 +51,6 @@ def transpose(grid: Grid, order: list[str]) -> Grid:
     return Grid(grid.df.select(*order, "v"), replace(m, axes=tuple(order), shape=pick(m.shape), chunk=pick(m.chunk), voxel_size=pick(m.voxel_size), units=pick(m.units), translation=pick(m.translation)))
 
 
-def same_grid(a: ArrayMeta, b: ArrayMeta, rtol: float = 1e-6, atol: float = 1e-6) -> bool:
-    near = all(abs(x - y) <= rtol * abs(y) for x, y in zip(a.voxel_size, b.voxel_size, strict=True))
-    return a.shape == b.shape and near and all(abs(x - y) <= atol for x, y in zip(a.translation, b.translation, strict=True))
-
-
 def stack(grids: list[Grid], axis: str = "c") -> Grid:
     """Arrays on one grid as channels, types promoted: a union, the channel a literal that scans prune by."""
     if len(grids) < 2:
@@ -71,6 +67,15 @@ def stack(grids: list[Grid], axis: str = "c") -> Grid:
     return Grid(reduce(lambda a, b: a.unionByName(b), parts), meta)
 
 
+def stack_onto(grids: list[Grid], axis: str = "c") -> Grid:
+    """Arrays on any grids as channels of the first one's: the others are sampled at the middles of its voxels, 0 outside of them.
+
+    Labels and masks are sampled by the nearest voxel, the rest linearly.
+    """
+    first = grids[0].meta
+    return stack([g if same_grid(first, g.meta) else resample(g, first) for g in grids], axis)
+
+
 def frames(grids: list[Grid]) -> Grid:
     """Arrays as the steps of a new leading time axis."""
     return stack(grids, "t")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import half_cosine
+from ..geometry.transforms import Affine
 from ..grid import Grid
+from ..meta import Box
 
 
 def tile_overlaps(tiles: DataFrame, axes: tuple[str, ...], margin: float = 0.0, cell: float | None = None) -> DataFrame:
@@ -95,14 +100,66 @@ def vote_translation(matches: DataFrame, axes: tuple[str, ...], epsilon: float =
     return near.agg(*[F.avg(f"t_{a}").alias(f"t_{a}") for a in axes], F.count("*").alias("inliers"))
 
 
-def fuse(tiles: list[tuple[Grid, tuple[int, ...]]], band: float = 8.0) -> DataFrame:
-    """Tiles at whole-voxel places, weighted by half a cosine from their faces on the last two axes: coordinates and ``v``."""
-    parts = []
+def fuse(tiles: list[tuple[Grid, tuple[int, ...]]], band: float = 8.0, box: Box | None = None) -> DataFrame:
+    """Tiles at whole-voxel places, weighted by half a cosine from their faces on the last two axes: coordinates and ``v``.
+
+    Of a ``box`` of the fused array only tiles that reach it are read, and of those only what lies in it.
+    """
+    axes, parts = tiles[0][0].axes, []
     for grid, place in tiles:
+        if box is not None:
+            own = box.moved(tuple(-p for p in place)).clip(grid.meta.shape)
+            if own.empty:
+                continue
+            part = grid.read(own).df
+        else:
+            part = grid.df
         weight = F.lit(1.0)
-        for a in grid.axes[-2:]:
+        for a in axes[-2:]:
             n = grid.length(a)
             weight = weight * half_cosine(F.least(F.col(a) + 0.5, F.lit(n - 0.5) - F.col(a)), band)
-        parts.append(grid.df.select(*[(F.col(a) + p).alias(a) for a, p in zip(grid.axes, place, strict=True)], (F.col("v") * weight).alias("wv"), weight.alias("w")))
-    axes = tiles[0][0].axes
+        parts.append(part.select(*[(F.col(a) + p).alias(a) for a, p in zip(grid.axes, place, strict=True)], (F.col("v") * weight).alias("wv"), weight.alias("w")))
+    if not parts:
+        return tiles[0][0].df.where("false").select(*axes, F.col("v").cast("double").alias("v"))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy(*axes).agg((F.sum("wv") / F.sum("w")).alias("v"))
+
+
+@dataclass(frozen=True)
+class Tile:
+    """A tile of a project: its name, shape and voxel size (z, y, x), and where the stage put it, from voxels to the world."""
+
+    setup: int
+    name: str
+    shape: tuple[int, ...]
+    voxel_size: tuple[float, ...]
+    stage: Affine
+
+
+#: Fixed value: the name of what a stitching run adds to the stage's own placement.
+STITCHED = "Stitching Transform"
+
+
+def tiles_of_project(xml: str, channel: int = 0, timepoint: int = 0) -> list[Tile]:
+    """The tiles of one channel in a stitching project's XML, without what earlier stitching added outermost.
+
+    Projects list axes as x, y, z and the outermost transform first.
+    """
+    root = ElementTree.fromstring(xml)
+    numbers = lambda text, kind=float: tuple(map(kind, text.split()))
+    flip = np.eye(3)[::-1]
+    placed = {}
+    for view in root.iter("ViewRegistration"):
+        if int(view.get("timepoint", 0)) != timepoint:
+            continue
+        steps = [(t.findtext("Name", "").strip(), np.array(numbers(t.findtext("affine"))).reshape(3, 4)) for t in view.findall("ViewTransform")]
+        if steps and steps[0][0] == STITCHED:
+            steps = steps[1:]
+        inward = [Affine.of(flip @ m[:, :3] @ flip, flip @ m[:, 3]) for _, m in reversed(steps)]
+        placed[int(view.get("setup"))] = reduce(Affine.then, inward, Affine.of(np.eye(3)))
+    out = []
+    for s in root.iter("ViewSetup"):
+        number = int(s.findtext("id"))
+        if int(s.findtext("attributes/channel", "0")) == channel and number in placed:
+            size = numbers(s.findtext("voxelSize/size", "1 1 1"))[::-1]
+            out.append(Tile(number, s.findtext("name", ""), numbers(s.findtext("size"), int)[::-1], size, placed[number]))
+    return out

@@ -113,11 +113,7 @@ def write(grid: Grid, path: str, form: str = "zarr2", compressor: str = "gzip",
         raise ValueError(f"formats are {FORMATS}, compressors {COMPRESSORS}")
     meta, axes = grid.meta, grid.axes
     files = metadata(meta, form, compressor)
-    fs, root = pafs.FileSystem.from_uri(path)
-    fs.create_dir(root, recursive=True)
-    for name, content in files.items():
-        with fs.open_output_stream(f"{root}/{name}") as out:
-            out.write(json.dumps(content).encode())
+    put_json(path, files)
     keys = [f"chunk_{a}" for a in axes]
 
     def put(part: pd.DataFrame) -> pd.DataFrame:
@@ -141,9 +137,20 @@ def write(grid: Grid, path: str, form: str = "zarr2", compressor: str = "gzip",
     return grid.df.sparkSession.createDataFrame([(got[0], got[1] or 0, got[0] - (got[1] or 0), got[2] or 0)], "chunks long, written long, skipped long, bytes long")
 
 
-def _json(spark: SparkSession, path: str) -> dict | None:
+def put_json(path: str, files: dict[str, dict]) -> None:
+    """Small files of a folder, by name."""
+    import pyarrow.fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(path)
+    fs.create_dir(root, recursive=True)
+    for name, content in files.items():
+        with fs.open_output_stream(f"{root}/{name}") as out:
+            out.write(json.dumps(content).encode())
+
+
+def small_json(spark: SparkSession, path: str) -> dict | None:
     """A small file by Hadoop's file system, which, unlike Spark's readers, sees names that begin with a dot."""
-    if not _there(spark, path):
+    if not exists(spark, path):
         return None
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -156,22 +163,22 @@ def _json(spark: SparkSession, path: str) -> dict | None:
 
 def describe(spark: SparkSession, path: str) -> tuple[ArrayMeta, str, str]:
     """A store's array, format and compressor, told from its metadata files."""
-    if m := _json(spark, f"{path}/.zarray"):
-        placed = _json(spark, f"{path}/.zattrs") or {}
+    if m := small_json(spark, f"{path}/.zarray"):
+        placed = small_json(spark, f"{path}/.zattrs") or {}
         return _meta(m["shape"], m["chunks"], np.dtype(m["dtype"]).name, placed), "zarr2", (m["compressor"] or {"id": "none"})["id"]
-    if m := _json(spark, f"{path}/zarr.json"):
+    if m := small_json(spark, f"{path}/zarr.json"):
         packed = [c["name"] for c in m["codecs"] if c["name"] in COMPRESSORS]
         return _meta(m["shape"], m["chunk_grid"]["configuration"]["chunk_shape"], m["data_type"], m.get("attributes", {}), m.get("dimension_names")), "zarr3", (packed or ["none"])[0]
-    if m := _json(spark, f"{path}/attributes.json"):
+    if m := small_json(spark, f"{path}/attributes.json"):
         return _meta(m["dimensions"][::-1], m["blockSize"][::-1], m["dataType"], m), "n5", "gzip" if m["compression"]["type"] == "gzip" else "none"
-    if m := _json(spark, f"{path}/info"):
+    if m := small_json(spark, f"{path}/info"):
         s = m["scales"][0]
         return _meta(s["size"][::-1], s["chunk_sizes"][0][::-1], m["data_type"], {"axes": ["z", "y", "x"], "voxel_size": s["resolution"][::-1]} | m), "precomputed", "none"
     raise ValueError(f"no array store at {path}")
 
 
 def _meta(shape, chunk, dtype, placed, names=None) -> ArrayMeta:
-    axes = placed.get("axes") or names or ["t", "c", "z", "y", "x"][-len(shape) :]
+    axes = [a["name"] if isinstance(a, dict) else a for a in placed.get("axes") or ()] or names or ["t", "c", "z", "y", "x"][-len(shape) :]
     more = {k: tuple(placed[k]) for k in ("voxel_size", "units", "translation") if placed.get(k)}
     return ArrayMeta(tuple(axes), tuple(shape), dtype, tuple(chunk), kind=placed.get("kind") or kind_of_stored(dtype), **more)
 
@@ -185,7 +192,7 @@ def read(spark: SparkSession, path: str, box: Box | None = None) -> Grid:
     wanted = spark.createDataFrame([(k, list(i)) for k, i in known.items()], "key string, idx array<long>")
     glob = {"zarr2": "[0-9]*", "zarr3": "*", "n5": "[0-9]*", "precomputed": "*_*_*"}[form]
     folders = sorted({f"{path}/{k.rpartition('/')[0]}".rstrip("/") for k in known})
-    present = [f for f in folders if _there(spark, f)]
+    present = [f for f in folders if exists(spark, f)]
     schema = ", ".join(f"{a} long" for a in axes) + ", v double"
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +214,7 @@ def read(spark: SparkSession, path: str, box: Box | None = None) -> Grid:
     return Grid(rows.select("content", "idx").mapInPandas(unpack, schema), meta).read(box)
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
