@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, license_scan, mixing, nn_descent, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, token_counts
+from . import html_extract, license_scan, mixing, nn_descent, packing, quality_classifier, quality_rules, simhash_dedup, source_divergence, spelling_variants, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8_query,
     "op9_nn_descent": nn_descent.op9_query,
     "op10_token_counts": token_counts.op10_query,
+    "op11_token_files": token_files.op11_query,
+    "op12_source_divergence": source_divergence.op12_query,
+    "op13_spelling_variants": spelling_variants.op13_query,
 }
 
 SQL: dict[str, str] = {
     "op6_quality_rules": quality_rules.oracle_sql(),
+    "op12_source_divergence": source_divergence.oracle_sql(),
+    "op13_spelling_variants": spelling_variants.oracle_sql(),
 }
