@@ -74,7 +74,7 @@ def open_levels(spark: SparkSession, path: str) -> list[Grid]:
             numbered.append(f"{path}/s{len(numbered)}")
         if numbered and not stores.exists(spark, f"{path}/info"):
             return [stores.read(spark, p) for p in numbered]
-        return [stores.read(spark, path)]
+        return [stores.read(spark, path, scale=k) for k in range(max(1, stores.scales(path)))]
     axes, levels = described
     label = "image-label" in attributes(spark, path) or "/labels/" in path
     out = []

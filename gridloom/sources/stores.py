@@ -1,43 +1,26 @@
 """Chunked array stores: Zarr v2 and v3, N5, precomputed.
 
-Chunks are encoded and decoded in tasks, a chunk at a time; Spark's own ``binaryFile`` reader fetches them, so a store can be
-wherever Spark can read, and a box reads its chunks' files only. Metadata is a small file read on the driver.
+Written chunk by chunk in tasks; read by the data source of ``store_source``, as the metadata say (``layouts``), or refused. Stores are
+reached by ``pyarrow.fs``: files that all executors see, S3, GCS, or HDFS where libhdfs is installed.
 """
 
 from __future__ import annotations
 
-import gzip
 import json
 import struct
-import zlib
-from collections.abc import Iterator
-from itertools import product
+import uuid
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..grid import Grid
-from ..meta import ArrayMeta, Box, kind_of_stored
+from ..meta import ArrayMeta, Box
 from ..operators.aggregate import chunk_summary
+from .layouts import FORMATS, PRECOMPUTED_TYPES, Layout, compress, of_store, small_file
+from .store_source import register
 
-FORMATS = ("zarr2", "zarr3", "n5", "precomputed")
 COMPRESSORS = ("none", "gzip", "zstd")
-#: Types of the precomputed format.
-PRECOMPUTED_TYPES = ("uint8", "uint16", "uint32", "uint64", "float32")
-
-
-def compress(data: bytes, how: str) -> bytes:
-    if how == "gzip":
-        return gzip.compress(data, 5, mtime=0)
-    return zstandard.ZstdCompressor(3).compress(data) if how == "zstd" else data
-
-
-def decompress(data: bytes, how: str) -> bytes:
-    if how == "gzip":
-        return zlib.decompress(data, 47)
-    return zstandard.ZstdDecompressor().decompressobj().decompress(data) if how == "zstd" else data
 
 
 def metadata(meta: ArrayMeta, form: str, compressor: str) -> dict[str, dict]:
@@ -90,22 +73,11 @@ def encode(block: np.ndarray, meta: ArrayMeta, form: str, compressor: str) -> by
     return block.astype(kind.newbyteorder("<")).tobytes()
 
 
-def decode(data: bytes, index: tuple[int, ...], meta: ArrayMeta, form: str, compressor: str) -> np.ndarray:
-    kind, box = np.dtype(meta.dtype), Box.of_chunk(index, meta.chunk, meta.shape)
-    if form in ("zarr2", "zarr3"):
-        whole = np.frombuffer(decompress(data, compressor), kind.newbyteorder("<")).reshape(meta.chunk)
-        return whole[tuple(slice(0, n) for n in box.shape)]
-    if form == "n5":
-        n = struct.unpack(">HH", data[:4])[1]
-        return np.frombuffer(decompress(data[4 + 4 * n :], compressor), kind.newbyteorder(">")).reshape(box.shape)
-    return np.frombuffer(data, kind.newbyteorder("<")).reshape(box.shape)
-
-
 def write(grid: Grid, path: str, form: str = "zarr2", compressor: str = "gzip", skip_empty: bool = True) -> DataFrame:
     """Write an array as a store; returns ``chunks``, ``written``, ``skipped``, ``bytes``.
 
-    Every task writes the chunks that it encoded, each file whole under its final name, so a task that runs again leaves
-    the same files. Chunks that hold only zeros are left out.
+    Every task writes the chunks that it encoded, each file aside and then renamed, so that a chunk is there whole or not at all, and a task
+    that runs again leaves the same files. Chunks that hold only zeros are left out.
     """
     import pyarrow.fs as pafs
 
@@ -127,8 +99,10 @@ def write(grid: Grid, path: str, form: str = "zarr2", compressor: str = "gzip",
         own, base = pafs.FileSystem.from_uri(path)
         name = f"{base}/{chunk_key(index, meta, form)}"
         own.create_dir(name.rpartition("/")[0], recursive=True)
-        with own.open_output_stream(name) as out:
+        aside = f"{base}/.{uuid.uuid4().hex}"
+        with own.open_output_stream(aside) as out:
             out.write(data)
+        own.move(aside, name)
         return pd.DataFrame({"written": [1], "bytes": [len(data)]})
 
     ids = [F.floor(F.col(a) / c).cast("long").alias(k) for a, c, k in zip(axes, meta.chunk, keys, strict=True)]
@@ -161,57 +135,41 @@ def small_json(spark: SparkSession, path: str) -> dict | None:
         stream.close()
 
 
-def describe(spark: SparkSession, path: str) -> tuple[ArrayMeta, str, str]:
-    """A store's array, format and compressor, told from its metadata files."""
-    if m := small_json(spark, f"{path}/.zarray"):
-        placed = small_json(spark, f"{path}/.zattrs") or {}
-        return _meta(m["shape"], m["chunks"], np.dtype(m["dtype"]).name, placed), "zarr2", (m["compressor"] or {"id": "none"})["id"]
-    if m := small_json(spark, f"{path}/zarr.json"):
-        packed = [c["name"] for c in m["codecs"] if c["name"] in COMPRESSORS]
-        return _meta(m["shape"], m["chunk_grid"]["configuration"]["chunk_shape"], m["data_type"], m.get("attributes", {}), m.get("dimension_names")), "zarr3", (packed or ["none"])[0]
-    if m := small_json(spark, f"{path}/attributes.json"):
-        return _meta(m["dimensions"][::-1], m["blockSize"][::-1], m["dataType"], m), "n5", "gzip" if m["compression"]["type"] == "gzip" else "none"
-    if m := small_json(spark, f"{path}/info"):
-        s = m["scales"][0]
-        return _meta(s["size"][::-1], s["chunk_sizes"][0][::-1], m["data_type"], {"axes": ["z", "y", "x"], "voxel_size": s["resolution"][::-1]} | m), "precomputed", "none"
-    raise ValueError(f"no array store at {path}")
-
-
-def _meta(shape, chunk, dtype, placed, names=None) -> ArrayMeta:
-    axes = [a["name"] if isinstance(a, dict) else a for a in placed.get("axes") or ()] or names or ["t", "c", "z", "y", "x"][-len(shape) :]
-    more = {k: tuple(placed[k]) for k in ("voxel_size", "units", "translation") if placed.get(k)}
-    return ArrayMeta(tuple(axes), tuple(shape), dtype, tuple(chunk), kind=placed.get("kind") or kind_of_stored(dtype), **more)
-
-
-def read(spark: SparkSession, path: str, box: Box | None = None) -> Grid:
-    """A store's array, or a box of it: only files of chunks that the box meets are listed and read. Missing chunks are 0."""
-    meta, form, compressor = describe(spark, path)
-    box = (box or meta.box).clip(meta.shape)
-    axes = meta.axes
-    known = {chunk_key(i, meta, form): i for i in product(*meta.chunks_covering(box))}
-    wanted = spark.createDataFrame([(k, list(i)) for k, i in known.items()], "key string, idx array<long>")
-    glob = {"zarr2": "[0-9]*", "zarr3": "*", "n5": "[0-9]*", "precomputed": "*_*_*"}[form]
-    folders = sorted({f"{path}/{k.rpartition('/')[0]}".rstrip("/") for k in known})
-    present = [f for f in folders if exists(spark, f)]
-    schema = ", ".join(f"{a} long" for a in axes) + ", v double"
-
-    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for data, index in zip(part["content"], part["idx"], strict=True):
-                index = tuple(int(i) for i in index)
-                own = Box.of_chunk(index, meta.chunk, meta.shape)
-                block = np.zeros(own.shape) if data is None else decode(bytes(data), index, meta, form, compressor).astype(float)
-                at = np.indices(own.shape).reshape(len(axes), -1)
-                yield pd.DataFrame({a: at[i] + s for i, (a, s) in enumerate(zip(axes, own.start, strict=True))} | {"v": block.ravel()})
-
-    if present:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(present)
-        depth = next(iter(known)).count("/") + 1
-        files = files.select(F.substring_index("path", "/", -depth).alias("key"), "content")
-        rows = wanted.join(files, "key", "left")
-    else:
-        rows = wanted.withColumn("content", F.lit(None).cast("binary"))
-    return Grid(rows.select("content", "idx").mapInPandas(unpack, schema), meta).read(box)
+def layout(path: str, scale: int = 0) -> Layout:
+    """How the array at ``path`` is stored, by its metadata files; ``UnsupportedStore`` where it is not read here, ValueError where none is."""
+    import pyarrow.fs as pafs
+
+    try:
+        return of_store(small_file(*pafs.FileSystem.from_uri(path)), scale)
+    except ValueError as e:
+        raise type(e)(f"{path}: {e}") from e
+
+
+def scales(path: str) -> int:
+    """How many scales a precomputed volume has; 0 where there is none."""
+    import pyarrow.fs as pafs
+
+    return len((small_file(*pafs.FileSystem.from_uri(path))("info") or {}).get("scales", ()))
+
+
+def read(spark: SparkSession, path: str, box: Box | None = None, scale: int = 0) -> Grid:
+    """A store's array, or a box of it: tasks read the bytes of the chunks that the box meets, and comparisons made later narrow it further.
+
+    Missing chunks hold the array's fill value. Values are doubles, those of 64-bit whole numbers longs.
+    """
+    own = layout(path, scale)
+    register(spark)
+    source = spark.read.format("gridloom_store").option("scale", scale)
+    if box is not None:
+        box = box.clip(own.meta.shape)
+        source = source.option("box", json.dumps([box.start, box.stop]))
+    return Grid(source.load(path), own.meta)
+
+
+def chunk_places(spark: SparkSession, path: str, scale: int = 0) -> DataFrame:
+    """``chunk_<axis>``, ``file``, ``start``, ``length`` of every chunk, from file sizes and shards' indexes; nulls where a chunk is not stored."""
+    register(spark)
+    return spark.read.format("gridloom_store").option("scale", scale).option("what", "places").load(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -225,15 +183,12 @@ def empty_chunks(grid: Grid) -> DataFrame:
     return chunk_summary(grid).where("filled = 0").drop("total", "voxels", "filled")
 
 
-def chunk_sizes(spark: SparkSession, path: str, low: float = 0.0, high: float = 1.0) -> Grid:
-    """One voxel a chunk: its stored size over its raw size, from ``low`` to ``high`` onto 0 to 255. Files are listed, not read."""
-    meta, form, _ = describe(spark, path)
-    known = {chunk_key(i, meta, form): i for i in product(*meta.chunks_covering(meta.box))}
-    depth = next(iter(known)).count("/") + 1
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", "/", -depth).alias("key"), F.col("length"))
-    raw = float(np.dtype(meta.dtype).itemsize * np.prod(meta.chunk))
-    wanted = spark.createDataFrame([(k, *i) for k, i in known.items()], "key string, " + ", ".join(f"{a} long" for a in meta.axes))
+def chunk_sizes(spark: SparkSession, path: str, low: float = 0.0, high: float = 1.0, scale: int = 0) -> Grid:
+    """One voxel a chunk, in shards too: its stored size over its raw size, from ``low`` to ``high`` onto 0 to 255. No chunk is read."""
+    own = layout(path, scale)
+    meta = own.meta
+    raw = float(np.dtype(own.dtype).itemsize * np.prod(meta.chunk))
     share = (F.coalesce("length", F.lit(0)) / raw - low) / (high - low) * 255
-    df = wanted.join(files, "key", "left").select(*meta.axes, F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), share))).cast("long").alias("v"))
-    shape = tuple(-(-n // c) for n, c in zip(meta.shape, meta.chunk, strict=True))
-    return Grid(df, ArrayMeta(meta.axes, shape, "uint8", voxel_size=tuple(v * c for v, c in zip(meta.voxel_size, meta.chunk, strict=True))))
+    axes = [F.col(f"chunk_{a}").alias(a) for a in meta.axes]
+    df = chunk_places(spark, path, scale).select(*axes, F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), share))).cast("long").alias("v"))
+    return Grid(df, ArrayMeta(meta.axes, own.grid, "uint8", voxel_size=tuple(v * c for v, c in zip(meta.voxel_size, meta.chunk, strict=True))))
