@@ -7,7 +7,10 @@ that can be near enough, compared block by block, so that a group of any size gi
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +19,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import stored
 from ..functions.components import connected_components
 
-#: Neighbours in a list, rounds at most, and the audit: queries and the recall that ends the rounds.
+#: Neighbours in a list, rounds at most, and the recall of links that ends the rounds.
 NEIGHBOURS = 12
 ROUNDS = 8
-AUDITED = 400
 RECALL = 0.99
-#: Orders by random projections that the first lists come from, and rows compared together.
-ORDERS = 4
+#: The audit asks so many vectors each of large and of small components, and of those in none at least so many and at most so many.
+AUDITED = 400
+AUDITED_LOOSE = 20_000
+#: Rows compared together, in the first lists and in components.
+FIRST_BLOCK = 512
 BLOCK = 256
+#: Directions of a cross-polytope hash: which of them a vector is most along, or against, is log2(2 * DIRECTIONS) bits of its place.
+DIRECTIONS = 16
 
 
 def usable(v: Column) -> Column:
@@ -47,41 +54,88 @@ def _edges(a, b, sim) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.asarray(sim, np.float64))], names=["a", "b", "sim"])
 
 
+def _best_across(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int):
+    """For each row of a block its k most alike of another block."""
+    sim = x @ y.T
+    k = min(k, len(others))
+    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    rows = np.repeat(np.arange(len(ids)), k)
+    top = top.ravel()
+    return ids[rows], others[top], sim[rows, top]
+
+
 def _best_of_block(ids: np.ndarray, x: np.ndarray, k: int):
     """For each row of a block its k most alike others."""
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
     k = min(k, len(ids) - 1)
+    if not k:
+        return ids[:0], ids[:0], sim[0, :0]
     top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     rows = np.repeat(np.arange(len(ids)), k)
     top = top.ravel()
     return ids[rows], ids[top], sim[rows, top]
 
 
-def first_lists(nodes: DataFrame, k: int, orders: int = ORDERS) -> DataFrame:
-    """``a``, ``b``, ``sim``: neighbours within blocks of a few orders by random projections."""
+def orders_for(n: int, missed: float = 0.005) -> int:
+    """How many orders of ``n`` vectors leave a pair at cosine 0.9 apart in all of them with a chance of ``missed``.
+
+    In one order such a pair is within a block with a chance that was measured, on random vectors of 64 components, as 0.5 at 80 blocks and 0.3 at
+    800, so it falls with the power 0.22 of the number of blocks (6 orders at 10,000 vectors, 8 at 50,000, 96 at 10**9). Closer pairs meet more often.
+    """
+    met = min(0.6, 0.5 * (max(1, n) / (80 * FIRST_BLOCK)) ** -0.22)
+    return max(2, math.ceil(math.log(missed) / math.log1p(-met)))
+
+
+def first_lists(nodes: DataFrame, k: int, n: int, seed: int = 0, orders: int | None = None) -> DataFrame:
+    """``a``, ``b``, ``sim``: neighbours within blocks of several orders of ``nodes`` (``n`` rows), in single precision.
+
+    An order goes by cross-polytope hashes, as many as part ``n`` rows into blocks, and within equal ones by a projection. In it
+    every block is compared with itself and the one before it. Orders of another ``seed`` are others.
+    """
+    orders = orders or orders_for(n)
+    depth = max(1, math.ceil(math.log2(max(2, n / FIRST_BLOCK)) / math.log2(2 * DIRECTIONS)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch.column("v"), np.float32)
+            rng = np.random.default_rng(1000 + seed)
+            codes, lines = np.zeros((len(x), orders), np.int64), np.zeros((len(x), orders), np.float32)
+            for r in range(orders):
+                for _ in range(depth):
+                    along = x @ rng.normal(size=(x.shape[1], DIRECTIONS)).astype(np.float32)
+                    most = np.abs(along).argmax(axis=1)
+                    codes[:, r] = codes[:, r] * 2 * DIRECTIONS + 2 * most + (along[np.arange(len(x)), most] > 0)
+                lines[:, r] = x @ rng.normal(size=x.shape[1]).astype(np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            both = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * orders), pa.array(m.ravel())) for m in (codes, lines)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), flat, *both], names=["id", "v", "codes", "lines"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = [], None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append((np.asarray(batch.column("id")), _matrix(batch.column("v"), np.float32)))
+            if not held or (batch is not None and sum(len(i) for i, _ in held) < FIRST_BLOCK):
+                continue
+            ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            whole = len(ids) if batch is None else len(ids) // FIRST_BLOCK * FIRST_BLOCK
+            for at in range(0, whole, FIRST_BLOCK):
+                own = slice(at, min(at + FIRST_BLOCK, whole))
+                yield _edges(*_best_of_block(ids[own], x[own], k))
+                if before:
+                    yield _edges(*_best_across(ids[own], x[own], *before, k))
+                    yield _edges(*_best_across(*before, ids[own], x[own], k))
+                before = ids[own], x[own]
+            held = [(ids[whole:], x[whole:])] if whole < len(ids) else []
+
+    placed = stored(nodes.mapInArrow(place, "id long, v array<float>, codes array<long>, lines array<float>"), "places")
     out = None
-    for seed in range(orders):
-
-        def project(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
-                    x = _matrix(batch.column("v"))
-                    line = np.random.default_rng(1000 + seed).normal(size=(x.shape[1], 8))
-                    # a Gray-like order of sign bits, the projection itself last
-                    p = x @ line
-                    code = ((p[:, :7] > 0) @ (1 << np.arange(7))[::-1]).astype(np.float64) * 4 + np.clip(p[:, 7], -1.9, 1.9)
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(code)], names=["id", "v", "code"])
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, len(batch), 128):
-                    part = batch.slice(at, 128)
-                    if len(part) > 1:
-                        yield _edges(*_best_of_block(np.asarray(part.column("id")), _matrix(part.column("v")), k))
-
-        placed = nodes.mapInArrow(project, "id long, v array<double>, code double").orderBy("code", "id").select("id", "v")
-        found = placed.mapInArrow(compare, "a long, b long, sim double")
+    for r in range(orders):
+        dealt = placed.select("id", "v", F.col("codes")[r].alias("code"), F.col("lines")[r].alias("line")).orderBy("code", "line", "id")
+        found = dealt.select("id", "v").mapInArrow(compare, "a long, b long, sim double")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -119,7 +173,10 @@ def _local_joins(k: int):
 
 
 def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """One round: every vector's neighbours and those it is neighbour of meet, and each keeps the best it met."""
+    """One round: every vector's neighbours and those it is neighbour of meet, and each keeps the best it met.
+
+    A vector meets its own neighbours again, so all that stays is compared in double precision here.
+    """
     back = graph.select(F.col("b").alias("u"), F.col("a").alias("id"), "sim")
     nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "id"))
     back = back.withColumn("nth", nth).where(F.col("nth") <= k).select("u", "id")
@@ -127,62 +184,104 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     near = near.unionByName(nodes.select(F.col("id").alias("u"), "id"))
     met = near.join(nodes, "id").repartition("u").sortWithinPartitions("u", "id").select("u", "id", "v")
     found = met.mapInArrow(_local_joins(k), "a long, b long, sim double")
-    return _top(graph.unionByName(found), k)
+    return _top(found, k)
+
 
+class Audit(NamedTuple):
+    """Recall of links by vector: an estimate, a lower bound that chance leaves it above nineteen times in twenty, and whether a link was seen at all."""
 
-def audit(nodes: DataFrame, parts: DataFrame, threshold: float, k: int = NEIGHBOURS, queries: int = AUDITED) -> float:
-    """The share of a vector's links, by brute force, that the components (``parts``) join: the worse of two means.
+    recall: float
+    at_least: float
+    seen: bool
 
-    One is over vectors in components of more than ``k``, the other over those in smaller ones and in none, so that links of
-    a large group do not speak for the rest. At most ``queries`` vectors are asked of large components, of small ones, and of those in none.
+
+def audited(nodes: DataFrame, parts: DataFrame, threshold: float, k: int = NEIGHBOURS, queries: int = AUDITED, loose: int = AUDITED_LOOSE) -> Audit:
+    """How much of a vector's links, by brute force, the components (``parts``) join.
+
+    The mean over all vectors that have links, and the mean over those in components of more than ``k`` by themselves and over the others, whichever
+    is worst. ``queries`` vectors are asked of large components and as many of small ones. Of those in none, who could all have lost their links, as many are
+    asked as show whether one in a hundred of the linked vectors is missing, ``loose`` at most; with no more than that all are asked, and nothing is estimated.
+    Each stratum counts by its size. Where no link is seen, ``seen`` is false and the recall of those asked is 1.
     """
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     of = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").join(sizes, "component", "left")
     kind = F.when(F.col("size") > k, 2).when(F.col("size") > 1, 1).otherwise(0)
     of = of.select("id", "v", F.coalesce("component", "id").alias("component"), kind.alias("kind"))
-    asked = [r for x in range(3) for r in of.where(F.col("kind") == x).orderBy(F.xxhash64("id"), "id").limit(queries).collect()]
+    strata = {r["kind"]: r["count"] for r in of.groupBy("kind").count().collect()}
+    linked = strata.get(1, 0) + strata.get(2, 0)
+    wanted = {0: min(loose, max(queries, 300 * strata.get(0, 0) // max(1, linked))), 1: queries, 2: queries}
+    asked = [r for x, n in strata.items() for r in of.where(F.col("kind") == x).orderBy(F.xxhash64("id"), "id").limit(min(n, wanted[x])).collect()]
     if not asked:
-        return 1.0
+        return Audit(1.0, 1.0, False)
     ids, own_part = (np.array([r[c] for r in asked], np.int64) for c in ("id", "component"))
     x = np.array([r["v"] for r in asked]).reshape(len(ids), -1)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, own_part, x))  # three times `queries` vectors at most
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, own_part, x))  # `loose` and twice `queries` vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, own_part, x = shared.value
+        links, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
-            links, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                linked = (x @ _matrix(part.column("v")).T >= threshold) & (ids[:, None] != np.asarray(part.column("id")))
-                links += linked.sum(axis=1)
-                found += (linked & (own_part[:, None] == np.asarray(part.column("component")))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(found)], names=["id", "links", "found"])
+                y, other, component = _matrix(part.column("v")).T, np.asarray(part.column("id")), np.asarray(part.column("component"))
+                for q in range(0, len(ids), 1024):
+                    own = slice(q, q + 1024)
+                    linked = (x[own] @ y >= threshold) & (ids[own, None] != other)
+                    links[own] += linked.sum(axis=1)
+                    found[own] += (linked & (own_part[own, None] == component)).sum(axis=1)
+        some = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(found[some])], names=["id", "links", "found"])
 
     truth = of.select("id", "component", "v").mapInArrow(run, "id long, links long, found long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
-    large, means = {r["id"] for r in asked if r["kind"] == 2}, {}
-    for r in truth.where("links > 0").collect():
-        means.setdefault(r["id"] in large, []).append(r["found"] / r["links"])
-    return min((float(np.mean(m)) for m in means.values()), default=1.0)
+    kinds = {r["id"]: r["kind"] for r in asked}
+    missed: dict[int, list[float]] = {x: [] for x in strata}
+    for r in truth.collect():
+        missed[kinds[r["id"]]].append(1 - r["found"] / r["links"])
+    weight = {x: n / min(n, wanted[x]) for x, n in strata.items()}
+    held = sum(weight[x] * len(m) for x, m in missed.items())
+    if not held:
+        return Audit(1.0, 1.0 if all(w == 1 for w in weight.values()) else 0.0, False)
+    # what chance may have kept from a stratum that was not asked whole: a count of x stands for up to x + 1 + 2 * sqrt(x + 1)
+    more = {x: 0.0 if weight[x] == 1 else 1 + 2 * math.sqrt(1 + sum(m)) for x, m in missed.items()}
+
+    def recall(among: tuple[int, ...], chance: float) -> float:
+        lost = sum(weight[x] * (sum(missed[x]) + chance * more[x]) for x in among if x in missed)
+        of_all = sum(weight[x] * (len(missed[x]) + chance * more[x]) for x in among if x in missed)
+        return 1 - lost / of_all if of_all else 1.0
+
+    groups = (0, 1, 2), (2,), (0, 1)
+    return Audit(min(recall(g, 0) for g in groups), recall((0, 1, 2), 1), True)
+
+
+def audit(nodes: DataFrame, parts: DataFrame, threshold: float, k: int = NEIGHBOURS, queries: int = AUDITED, loose: int = AUDITED_LOOSE) -> float:
+    """The estimate of ``audited``."""
+    return audited(nodes, parts, threshold, k, queries, loose).recall
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float, k: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, queries: int = AUDITED) -> tuple[DataFrame, DataFrame, float]:
-    """The refined lists (``a``, ``b``, ``sim``), the components of their links and of those they hide, and the audited recall.
+def neighbour_graph(nodes: DataFrame, threshold: float, k: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, queries: int = AUDITED, loose: int = AUDITED_LOOSE) -> tuple[DataFrame, DataFrame, Audit]:
+    """The refined lists (``a``, ``b``, ``sim``), the components of their links and of those they hide, and the audit.
 
-    Rounds go on until the audit is satisfied; one that gains nothing doubles the lists. Raises RuntimeError when
-    ``rounds`` do not suffice, rather than return links that the audit knows to be incomplete.
+    Every round adds orders of its own and refines the lists. Rounds end when the audit's lower bound is ``recall``, or its estimate is and the
+    last round found no new linked vector; a round that gains nothing also doubles the lists. Raises RuntimeError when ``rounds`` leave the
+    estimate below ``recall``, rather than return links that the audit knows to be incomplete.
     """
-    graph = stored(_top(first_lists(nodes, k), k), "graph")
-    got = 0.0
-    for _ in range(rounds):
+    n = nodes.count()
+    graph, got, linked = None, Audit(0.0, 0.0, False), -1
+    for done in range(rounds):
+        fresh = first_lists(nodes, max(2, k // 2), n, seed=done)
+        graph = stored(_top(fresh if graph is None else graph.unionByName(fresh), k), "graph")
         for _ in range(2):
             graph = stored(refine(graph, nodes, k), "graph")
         parts = linked_parts(graph, nodes, threshold, k)
-        before, got = got, audit(nodes, parts, threshold, k, queries)
-        if got >= recall:
+        before, got = got, audited(nodes, parts, threshold, k, queries, loose)
+        known, linked = linked, parts.count()
+        if got.at_least >= recall or (got.recall >= recall and linked == known):
             return graph, parts, got
-        if got <= before:
+        if got.recall <= before.recall:
             k *= 2
-    raise RuntimeError(f"recall {got:.4f} of links after {rounds} rounds, {recall} wanted")
+    if got.recall >= recall:
+        return graph, parts, got
+    raise RuntimeError(f"recall {got.recall:.4f} of links after {rounds} rounds, {recall} wanted")
 
 
 def linked_parts(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
