@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stored
 
-__all__ = ["n_words_of", "shared_folder", "stored", "words_of"]
+__all__ = ["hashable", "n_words_of", "quoted", "shared_folder", "stored", "words_of"]
 
 #: Words are runs of anything but ASCII white space; all operators count them so.
 SPACES = "\t\n\x0b\x0c\r"
@@ -21,3 +21,13 @@ def words_of(text):
 def n_words_of(text):
     """How many words a text column has; a null text has none."""
     return F.size(words_of(text)).cast("long")
+
+
+def quoted(name: str):
+    """The column of that very name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def hashable(docs):
+    """All columns of a table, for hashes of rows; those that hold maps or variants, which have no hash, as JSON."""
+    return [F.to_json(F.struct(quoted(c).alias("x"))) if "map<" in t or "variant" in t else quoted(c) for c, t in docs.dtypes]

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
-from .common import n_words_of, stored
+from .common import hashable, n_words_of, quoted, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -111,8 +112,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST)
     tables give equal results however they are parted: rounding goes by size, id and row content. Further columns
     ride along in ``row``; an empty table gives an empty one.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"])
-    content = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]  # maps have no hash
+    whole = F.struct(*[quoted(c) for c in docs.columns if c.lower() != "text"])
+    content = hashable(docs)
     rows = stored(docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"), F.xxhash64(*content).alias("content")), "sizes")
     sizes = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -122,8 +123,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST)
     rate = F.when(F.col("full"), F.lit(float(most))).otherwise(_rate(F.coalesce("tilt", F.lit(0.0)), F.col("size"), most))
     rated = rated.withColumns({"rate": rate, "share": F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("docs") / ROUNDED)))})
     dealt = rated.repartition("source", "share").sortWithinPartitions("source", "share", F.desc("size"), "doc_id", "content")
-    row = rows.schema["row"].dataType.simpleString()
-    return dealt.select(*_KEPT, "source", "share", "rate").mapInArrow(_copies(most), f"row {row}, size long, source_size long, target double, copies long")
+    out = StructType([rows.schema["row"], *StructType.fromDDL("size long, source_size long, target double, copies long")])
+    return dealt.select(*_KEPT, "source", "share", "rate").mapInArrow(_copies(most), out)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
@@ -133,6 +134,6 @@ def op7_query(spark, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as they were."""
-    with_text = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "source", "text")
+    with_text = docs.select(F.struct(*map(quoted, docs.columns)).alias("whole"), "doc_id", "source", "text")
     taken = mix(with_text, weights, most).where("copies > 0")
-    return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "row.whole.*").drop("copy")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.whole.*")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import words_of
+from .common import quoted, words_of
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +95,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 2
     m = measures(F.col("text"))
     ours = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
     rest = [c for c in docs.columns if c.lower() not in ours]
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest"), m["by_word"].alias("__w"), m["by_line"].alias("__l"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_bangs"].alias("__bangs"))
+    out = docs.select(F.struct(*map(quoted, rest)).alias("__rest"), m["by_word"].alias("__w"), m["by_line"].alias("__l"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_bangs"].alias("__bangs"))
     n = F.col("__w.n_words")
     ratios = {
         "mean_word_length": F.col("word_chars") / F.nullif(n, F.lit(0)),
@@ -127,7 +127,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 2
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` without the rejected rows; columns as they were."""
     # the verdict rides beside the row, so that clashing names in docs stay
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("__row"), F.col("text"))
     return score(whole, rules).where("kept").select("__row.*")
 
 

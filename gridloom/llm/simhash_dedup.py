@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import hashable, quoted, stored
 from ..functions.components import connected_components
 
 #: Buckets with more distinct fingerprints are dealt out again by a second set of masks.
@@ -202,10 +202,11 @@ def keep_one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
     A row is known by two hashes of all its columns, and of rows equal in all of them any is taken; so rows without
     an id, or with a repeated one, are kept or left out like others.
     """
-    every = [c for x in docs.columns for c in (F.col(f"`{x}`"), F.col(f"`{x}`").isNull())]
-    keyed = docs.withColumn("__h1", F.xxhash64(F.lit(1), *every)).withColumn("__h2", F.xxhash64(F.lit(2), *every))
-    fps = stored(fingerprints(keyed, also=("__h1", "__h2")), "fingerprints")
+    every = [c for x in hashable(docs) for c in (x, x.isNull())]
+    whole = F.struct(*map(quoted, docs.columns)).alias("whole")
+    keyed = docs.select(whole, "doc_id", "text", F.xxhash64(F.lit(1), *every).alias("h1"), F.xxhash64(F.lit(2), *every).alias("h2"))
+    fps = stored(fingerprints(keyed, also=("h1", "h2")), "fingerprints")
     of = _groups(stored(fps.select("fp").distinct(), "nodes"), radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__h1", "__h2")).alias("first")
-    lasting = fps.join(of, "fp").groupBy("group").agg(first).select("first.__h1", "first.__h2")
-    return keyed.dropDuplicates(["__h1", "__h2"]).join(lasting, ["__h1", "__h2"], "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h1", "h2")).alias("first")
+    lasting = fps.join(of, "fp").groupBy("group").agg(first).select("first.h1", "first.h2")
+    return keyed.select("whole", "h1", "h2").dropDuplicates(["h1", "h2"]).join(lasting, ["h1", "h2"], "left_semi").select("whole.*")

@@ -24,8 +24,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import stored
+from .common import quoted, stored
 from .suffix_sort import repeated_starts
 
 SPAN = 400
@@ -205,7 +206,7 @@ def _sorted_shards(span: int, shard_bytes: int, kind: type):
     return run
 
 
-_RANGES = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_RANGES = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _blocks(span: int, kind: type):
@@ -222,7 +223,7 @@ def _blocks(span: int, kind: type):
                 core = np.maximum(x + block - 1 - np.where(x == 0, lead, 0), 0)
                 cls = hashes.of(core, core + span - block + 1)
                 whole = _mixed(hashes.of(x, y + span) + (y - x).astype(np.uint64) + np.where(x == 0, lead, 0).astype(np.uint64) * np.uint64(1 << 20))
-                same = [pa.array(np.full(len(x), r[c]), t) for c, t in (("k", pa.int64()), ("th", pa.int32()), ("s", pa.int64()), ("n", pa.int64()))]
+                same = [pa.array(np.full(len(x), r[c]), t) for c, t in (("k", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array(whole.view(np.int64)), *same, pa.array(x + r["s"]), pa.array(y + r["s"])], names=["cls", "whole", "k", "th", "s", "n", "x", "y"])
 
     return run
@@ -235,7 +236,7 @@ def _windows(span: int, kind: type):
                 h = Hashes(np.frombuffer(r["bytes"], kind)).each(span)
                 for b in r["blocks"]:
                     at = np.arange(b["x"], b["y"] + 1)
-                    same = [pa.array(np.full(len(at), v), t) for v, t in ((r["k"], pa.int64()), (r["th"], pa.int32()), (b["n"], pa.int64()))]
+                    same = [pa.array(np.full(len(at), v), t) for v, t in ((r["k"], pa.int64()), (r["th"], pa.int64()), (b["n"], pa.int64()))]
                     yield pa.RecordBatch.from_arrays([pa.array(h[at - r["s"]].view(np.int64)), *same, pa.array(at)], names=["key", "k", "th", "n", "x"])
 
     return run
@@ -247,13 +248,13 @@ def _large_class_ranges(runs: DataFrame, span: int, kind: type) -> DataFrame:
     Blocks repeat as a whole, or share what all their windows have in common with another block; only the latter
     are looked at window by window. All matching is by counting hashes, so that no class meets in one task.
     """
-    blocks = stored(runs.mapInArrow(_blocks(span, kind), "cls long, whole long, k long, th int, s long, n long, x long, y long"), "blocks")
+    blocks = stored(runs.mapInArrow(_blocks(span, kind), "cls long, whole long, k long, th long, s long, n long, x long, y long"), "blocks")
     texts = blocks.groupBy("cls", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("k", "th", "s", "x", "y")).alias("one"))
     texts = stored(texts, "block-texts")
     whole = blocks.where("n = 1").join(texts.where("n > 1").select("cls", "whole"), ["cls", "whole"], "left_semi").select("k", "th", F.col("x").alias("a"), (F.col("y") + span).alias("b"))
     classes = texts.groupBy("cls").agg(F.count("*").alias("texts"), F.min("n").alias("least")).where("texts > 1 and least = 1").select("cls")
     live = texts.join(classes, "cls").select("one.*", "n").groupBy("k", "th", "s").agg(F.collect_list(F.struct("x", "y", "n")).alias("blocks"))
-    each = runs.select("k", "th", "s", "bytes").join(live, ["k", "th", "s"]).select("k", "th", "s", "bytes", "blocks").mapInArrow(_windows(span, kind), "key long, k long, th int, n long, x long")
+    each = runs.select("k", "th", "s", "bytes").join(live, ["k", "th", "s"]).select("k", "th", "s", "bytes", "blocks").mapInArrow(_windows(span, kind), "key long, k long, th long, n long, x long")
     each = stored(each, "windows")
     twice = each.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     single = each.where("n = 1").join(twice, "key", "left_semi").select("k", "th", F.col("x").alias("a"), (F.col("x") + span).alias("b"))
@@ -289,7 +290,7 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard
     (binary: the letters, each of ``kind``).
     """
     anchor, width = min(ANCHOR if kind is np.uint8 else SHINGLE, span), np.dtype(kind).itemsize
-    runs = stored(docs.mapInArrow(_runs(span, anchor, kind), "cls long, whole long, k long, th int, place long"), "runs")
+    runs = stored(docs.mapInArrow(_runs(span, anchor, kind), "cls long, whole long, k long, th long, place long"), "runs")
     texts = stored(runs.groupBy("cls", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "place")).alias("one")), "texts")
     s, e, p = (F.expr(x) for x in ("shiftright(place, 32)", "shiftright(place, 32) + (shiftright(place, 16) & 65535)", "shiftright(place, 32) + (place & 65535)"))
     whole = runs.join(texts.where("n > 1").select("cls", "whole"), ["cls", "whole"], "left_semi").select("k", "th", s.alias("a"), (e + span).alias("b"))
@@ -299,11 +300,11 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard
     cut = stored(cut.select("cls", "texts", "n", "k", "th", "place", "s", "e", "p", F.expr(f"substring(text, cast(s * {width} + 1 as int), cast((e - s + {span}) * {width} as int))").alias("bytes")), "cut")
     # a window can only repeat where what its block shares does: that spares most texts of a class the sorting
     small = cut.where(f"texts <= {large}")
-    cores = small.select("cls", "k", "th", "place", "s", "e", "p", "bytes").mapInArrow(_cores(span, kind), "core long, cls long, k long, th int, place long")
+    cores = small.select("cls", "k", "th", "place", "s", "e", "p", "bytes").mapInArrow(_cores(span, kind), "core long, cls long, k long, th long, place long")
     met = cores.groupBy("core", "cls").agg(F.count("*").alias("n")).where("n > 1").select("core", "cls")
     live = cores.join(met, ["core", "cls"], "left_semi").select("k", "th", "place").distinct()
     load = small.join(live, ["k", "th", "place"], "left_semi").select("cls", "bytes", "k", "th", "s", "n")
-    out = whole.unionByName(load.repartition("cls").sortWithinPartitions("cls").mapInArrow(_sorted_shards(span, shard_bytes, kind), "k long, th int, a long, b long"))
+    out = whole.unionByName(load.repartition("cls").sortWithinPartitions("cls").mapInArrow(_sorted_shards(span, shard_bytes, kind), "k long, th long, a long, b long"))
     if not cut.where(f"texts > {large}").isEmpty():
         out = out.unionByName(_large_class_ranges(cut.where(f"texts > {large}"), span, kind))
     return out
@@ -358,15 +359,15 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, shard_
     gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
-    keyed = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.hash(text).alias("th"), text.alias("text"))
+    rest = [quoted(c) for c in docs.columns if c.lower() != "text"]
+    keyed = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
     letters = keyed.select("k", "th", "text")
     if words:
-        letters = letters.mapInArrow(_as_words, "k long, th int, text binary")
+        letters = letters.mapInArrow(_as_words, "k long, th long, text binary")
     ranges = repeated_ranges(letters, span, large, shard_bytes, np.uint64 if words else np.uint8)
     ranges = ranges.groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    row = keyed.schema["row"].dataType.simpleString()
-    return keyed.join(ranges, ["k", "th"], "left").select("row", "text", "ranges").mapInArrow(_kept(words), f"row {row}, n_removed long, n_spans long, kept binary")
+    out = StructType([keyed.schema["row"], *StructType.fromDDL("n_removed long, n_spans long, kept binary")])
+    return keyed.join(ranges, ["k", "th"], "left").select("row", "text", "ranges").mapInArrow(_kept(words), out)
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
@@ -379,4 +380,4 @@ def without_repeats(docs: DataFrame, span: int = PASSAGE) -> DataFrame:
     """``docs`` without passages of ``span`` words or more that are found twice: columns and types as they were, a null text empty."""
     out = remove_repeats(docs, span, words=True)
     text = F.col("kept").cast("string")
-    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return out.select(*[text.alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
