@@ -6,8 +6,8 @@ A page is a sequence of tokens: start tags, told apart by their path, and blocks
 2. Tokens that occur equally often in every page of a host (one occurrence vector) form an equivalence class, if enough pages hold it.
 3. Of a class those tokens are valid that keep one order, and it nests where all of it lies in one slot of the host's main class, on
    nearly all pages that have it; text that wanders between other tokens is thus none of the template's. What is valid and nests makes the template.
-4. The template's elements and texts leave slots. Text of the page's own, in no element that plays a role by its tag or name, tells
-   which element of the template holds the main text; a template's text goes where no slot near it holds text of pages' own.
+4. The template's elements and texts leave slots. Text of pages' own, in no element that plays a role by its tag or name, tells which slots hold
+   main text; a template's text outside articles goes where no slot near it holds text of pages' own, and what it lacks there stays.
 
 Occurrence vectors are compared by an order-free hash that Spark adds up by token, and only what enough pages of a host hold is ever
 gathered by host, so that a host with a third of all pages needs no task of its own.
@@ -19,7 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,7 +45,7 @@ SECTIONS = frozenset("body div section aside header footer nav form center field
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promos nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar sidebars aside widget widgets footer foot header masthead topbar toolbar cookie cookies consent notice notices alert gdpr popup modal overlay "
-    "newsletter subscribe signup login search form share sharing social related recommended comment comments commentlist reply replies respond disqus discussion "
+    "newsletter subscribe signup login search form share sharing social related recommended teaser teasers comment comments commentlist reply replies respond disqus discussion "
     "pagination pager skip copyright legal disclaimer contentinfo complementary".split()
 )
 #: Words that say nothing of what an element holds; a name is furniture if its other words are among these.
@@ -54,17 +54,21 @@ NEUTRAL = frozenset(
     "row col column grid group link links post posts article articles button buttons btn icon icons primary secondary global local user users reader readers thread "
     "body content text title slot unit zone sticky fixed mobile desktop small large js id class module component region".split()
 )
+#: Of these, words that may also head a part of an article; inside one they name no furniture.
+AMBIGUOUS = frozenset("discussion notice notices alert legal copyright disclaimer complementary related reply respond form search share social skip banner modal overlay form".split())
+#: Elements whose text is drawn, chosen or run, and no part of the block around it; and what ends one that is not closed.
+UNSEEN = frozenset("script style svg canvas object button select textarea".split())
+ENDS_UNSEEN = BLOCKS - frozenset("title option optgroup label legend script style select textarea caption search menu".split())
 #: A token is of the template where at least so large a part of the host's pages hold it, and its class where so many agree on its order.
 SHARE = 0.5
 AGREE = 0.9
-#: An element holds the main text with so much of the host's own text, and an article or main with so much.
+#: On pages without article or main, an element holds the main text with so much of the host's own text.
 HOLDS = 0.8
-NAMED = 0.3
 #: Templates of all hosts are sent to every task up to so many tokens.
 BROADCAST = 1_000_000
 #: Hosts with fewer different pages have no template.
 LEAST_PAGES = 4
-#: Characters of text in one batch of parsed pages, about.
+#: Characters of text in one batch of parsed pages, about; an element counts as 32.
 BATCH = 4_000_000
 
 #: Start tags that end an open paragraph, and elements whose like ends them.
@@ -76,25 +80,46 @@ _NO_MARKS = str.maketrans("[]/", "___")
 
 
 class _Page(HTMLParser):
-    """Blocks of text with their paths and places, and how often and where each path begins."""
+    """Blocks of text with their places, and how often and where each path begins.
+
+    A path is a number; ``parents``, ``steps`` and ``marks`` tell its last step, what is before that, and a hash of all of it, and ``roles`` whether it is
+    of a page's furniture. So a page takes memory in proportion to its elements, however deep they lie.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
-        self.paths = [""]
+        self.open: Counter = Counter()
+        self.at = [0]
         self.likes: list[dict[str, int] | None] = [None]  # sections so far under each open element
-        self.blocks: list[tuple[str, str, int, int]] = []  # path, text, characters not in links, place
-        self.begun: dict[str, list[int]] = {}  # times, first place
+        self.parents, self.steps, self.marks, self.roles, self.inside = [-1], [""], [0], [False], [False]
+        self.known: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str, int, int]] = []  # path, text, characters (no spaces) not in links, place
+        self.begun: dict[int, list[int]] = {}  # times, first place
         self.place = 0
         self.parts: list[str] = []
         self.linked = 0
-        self.links = 0
+        self.unseen: list[str] = []  # open elements from one whose text is none on
+
+    def _step(self, step: str) -> int:
+        """The path that goes on from the open one by a step."""
+        before = self.at[-1]
+        found = self.known.get((before, step))
+        if found is None:
+            found = self.known[before, step] = len(self.steps)
+            inside = self.inside[before] or tag_of(step) in ("article", "main")
+            self.parents.append(before)
+            self.steps.append(step)
+            self.marks.append(_mark(self.marks[before], step))
+            self.roles.append(self.roles[before] or step_plays_role(step, inside))
+            self.inside.append(inside)
+        return found
 
     def _close_block(self):
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.blocks.append((self.paths[-1], text, max(0, len(text) - self.linked), self.place))
+            found = "".join(self.parts).split()
+            if found:
+                self.blocks.append((self.at[-1], " ".join(found), max(0, sum(map(len, found)) - self.linked), self.place))
                 self.place += 1
             self.parts, self.linked = [], 0
 
@@ -102,17 +127,23 @@ class _Page(HTMLParser):
         if any(tag in BLOCKS for tag, _ in self.stack[n:]):
             self._close_block()
         for tag, _ in self.stack[n:]:
-            self.links -= tag == "a"
-        del self.stack[n:], self.paths[n + 1 :], self.likes[n + 1 :]
+            self.open[tag] -= 1
+        del self.stack[n:], self.at[n + 1 :], self.likes[n + 1 :]
 
     def handle_starttag(self, tag, attrs):
+        if self.unseen and tag in ENDS_UNSEEN:
+            self.unseen.clear()
+        if self.unseen or tag in UNSEEN:
+            if tag not in VOID and (not self.unseen or tag == self.unseen[0]):
+                self.unseen.append(tag)
+            return
         if tag == "br":
             self.parts.append(" ")
             return
         if tag in BLOCKS:
-            if tag in _ENDS_P:
+            if tag in _ENDS_P and self.open["p"]:
                 self._end("p", BLOCKS - {"p"})
-            if tag in _ENDS_LIKE:
+            if tag in _ENDS_LIKE and self.open[tag]:
                 self._end(tag, _ENDS_LIKE[tag])
             if tag in ("dt", "dd"):
                 self._end("dd" if tag == "dt" else "dt", {"dl"})
@@ -122,20 +153,22 @@ class _Page(HTMLParser):
         named = "".join(sorted({f".{w}" for k, v in attrs if v and k in ("class", "id", "role") for w in v.replace(".", "_").split()})) if attrs else ""
         if named:  # numbers in names tell pages apart, not templates
             named = re.sub(r"\d+", "#", named.translate(_NO_MARKS))
-        path = f"{self.paths[-1]}/{tag}{named}" if tag in BLOCKS or named else self.paths[-1]
-        if path != self.paths[-1]:
+        at = self.at[-1]
+        if tag in BLOCKS or named:
             self._close_if_role(named)
+            step = tag + named
             if tag in SECTIONS:
                 like = self.likes[-1] = self.likes[-1] or {}
-                like[path] = nth = like.get(path, 0) + 1
+                like[step] = nth = like.get(step, 0) + 1
                 if nth > 1:
-                    path += f"[{nth}]"
-            self.begun.setdefault(path, [0, self.place])[0] += 1
+                    step += f"[{nth}]"
+            at = self._step(step)
+            self.begun.setdefault(at, [0, self.place])[0] += 1
             self.place += 1
         self.stack.append((tag, named))
-        self.paths.append(path)
+        self.open[tag] += 1
+        self.at.append(at)
         self.likes.append(None)
-        self.links += tag == "a"
 
     def _close_if_role(self, named: str):
         if named and any(map(furniture, named.split("."))):
@@ -150,22 +183,37 @@ class _Page(HTMLParser):
             if self.stack[n][0] in within:
                 return
 
+    def handle_startendtag(self, tag, attrs):
+        if tag not in UNSEEN:
+            self.handle_starttag(tag, attrs)
+            if tag not in VOID and tag not in BLOCKS:
+                self.handle_endtag(tag)
+
     def handle_endtag(self, tag):
+        if self.unseen:
+            if tag == self.unseen[0]:
+                self.unseen.pop()
+                return
+            if tag not in ENDS_UNSEEN or not self.open[tag]:
+                return
+            self.unseen.clear()
+        if not self.open[tag]:
+            if tag in BLOCKS:
+                self._close_block()
+            return
         for n in range(len(self.stack) - 1, -1, -1):
             if self.stack[n][0] == tag:
                 if self.stack[n][1] and tag not in BLOCKS:
                     self._close_if_role(self.stack[n][1])
                 self._pop(n)
                 return
-        if tag in BLOCKS:
-            self._close_block()
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][0] in ("script", "style"):
+        if self.unseen:
             return
         self.parts.append(data)
-        if self.links:
-            self.linked += len(data)
+        if self.open["a"]:
+            self.linked += sum(map(len, data.split()))
 
     def finish(self):
         self.close()
@@ -180,62 +228,65 @@ def parse(html: str) -> _Page:
 
 
 @lru_cache(100_000)
-def furniture(name: str) -> bool:
+def furniture(name: str, inside: bool = False) -> bool:
     """Whether a name is of a page's furniture: it has such a word, and its others say nothing (``site-footer``, not ``share-price``)."""
     words = [w.lower() for w in re.findall(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+", name)]
-    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in NEUTRAL for w in words)
+    telling = FURNITURE - AMBIGUOUS if inside else FURNITURE
+    return any(w in telling for w in words) and all(w in FURNITURE or w in NEUTRAL for w in words)
 
 
 @lru_cache(100_000)
-def plays_role(path: str) -> bool:
-    """Whether an element on ``path`` is furniture by its tag or its names; a header inside an article is not."""
-    inside = False
-    for step in path.split("/")[1:]:
-        tag, *names = step.partition("[")[0].split(".")
-        inside |= tag in ("article", "main")
-        if tag in ASIDE or (tag == "header" and not inside):
-            return True
-        if tag not in ("html", "body", "article", "main") and any(map(furniture, names)) and not (inside and tag == "header"):
-            return True
-    return False
+def step_plays_role(step: str, inside: bool) -> bool:
+    """Whether an element is furniture by its tag or its names; ``inside`` (or being) an article or main a header is not, nor what ambiguous names name."""
+    tag, *names = step.partition("[")[0].split(".")
+    if tag in ASIDE or (tag == "header" and not inside):
+        return True
+    return tag not in ("html", "body", "main") and not (inside and tag == "header") and any(furniture(n, inside) for n in names)
 
 
-def tag_of(path: str) -> str:
-    return re.split(r"[.\[]", path.rpartition("/")[2], maxsplit=1)[0]
+def tag_of(step: str) -> str:
+    return re.split(r"[.\[]", step, maxsplit=1)[0]
 
 
-def within(path: str, element: str) -> bool:
-    return not element or path == element or path.startswith(element + "/")
+def host_of(url):
+    """Host of a url column, without scheme, user and port; a null or odd url has the empty host."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_of(url):
-    """Scheme-less host of a url column; a null or odd url has the empty host."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
+def _mark(before: int, step: str) -> int:
+    return xxhash.xxh64_intdigest(f"{before}/{step}")
+
+
+def _named(mark: int, text: str = "") -> int:
+    return xxhash.xxh64_intdigest(f"{mark}\n{text}") - (1 << 63)
 
 
 def _token(path: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{path}\n{text}") - (1 << 63)
+    """The token of an element, or of a text in it, by its path."""
+    return _named(reduce(_mark, path.split("/")[1:], 0), text)
 
 
 _PARSED = {
-    "sig": pa.int64(), "paths": pa.list_(pa.string()), "ptok": pa.list_(pa.int64()), "bpath": pa.list_(pa.int32()), "btok": pa.list_(pa.int64()),
+    "sig": pa.int64(), "steps": pa.list_(pa.string()), "ptok": pa.list_(pa.int64()), "bpath": pa.list_(pa.int32()), "btok": pa.list_(pa.int64()),
     "bfree": pa.list_(pa.int64()), "btext": pa.list_(pa.string()), "toks": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "places": pa.list_(pa.int32()),
+    "parents": pa.list_(pa.int32()), "roles": pa.list_(pa.bool_()),
 }
-_PARSED_SQL = "sig long, paths array<string>, ptok array<long>, bpath array<int>, btok array<long>, bfree array<long>, btext array<string>, toks array<long>, counts array<int>, places array<int>"
+_PARSED_SQL = "sig long, steps array<string>, ptok array<long>, bpath array<int>, btok array<long>, bfree array<long>, btext array<string>, toks array<long>, counts array<int>, places array<int>, parents array<int>, roles array<boolean>"
+#: What of a parsed page tells its frame.
+_LIGHT = ["host", "steps", "ptok", "parents", "roles", "bpath", "btok", "bfree"]
 
 
 def parsed_row(html: str) -> tuple:
-    """A page's signature, elements, blocks (path, token, own characters, text) and tokens (times, first place)."""
+    """A page's signature, elements (last step, token), blocks (path, token, own characters, text), tokens (times, first place), and elements' parents and roles."""
     page = parse(html)
-    paths = list(dict.fromkeys([*page.begun, *(b[0] for b in page.blocks)]))
-    number = {p: i for i, p in enumerate(paths)}
-    tokens: dict[int, list[int]] = {_token(p): list(held) for p, held in page.begun.items()}
-    btok = [_token(path, text) for path, text, _, _ in page.blocks]
+    ptok = [_named(m) for m in page.marks]
+    tokens: dict[int, list[int]] = {ptok[p]: list(held) for p, held in page.begun.items()}
+    btok = [_named(page.marks[path], text) for path, text, _, _ in page.blocks]
     for t, (_, _, _, place) in zip(btok, page.blocks, strict=True):
         tokens.setdefault(t, [0, place])[0] += 1
-    sig = xxhash.xxh64_intdigest("\n".join(text for path, text, _, _ in page.blocks if not plays_role(path))) - (1 << 63)
+    sig = xxhash.xxh64_intdigest("\n".join(text for path, text, _, _ in page.blocks if not page.roles[path])) - (1 << 63)
     counts, places = zip(*tokens.values(), strict=True) if tokens else ((), ())
-    return sig, paths, [_token(p) for p in paths], [number[b[0]] for b in page.blocks], btok, [b[2] for b in page.blocks], [b[1] for b in page.blocks], list(tokens), counts, places
+    return sig, page.steps, ptok, [b[0] for b in page.blocks], btok, [b[2] for b in page.blocks], [b[1] for b in page.blocks], list(tokens), counts, places, page.parents, page.roles
 
 
 def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +294,7 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, first, held = [], 0, 0
         for i, html in enumerate(batch.column("html")):
             rows.append(parsed_row(text_of(html)))
-            held += sum(map(len, rows[-1][6]))
+            held += sum(map(len, rows[-1][6])) + 32 * len(rows[-1][1])
             if held >= BATCH or i + 1 == len(batch):
                 same = [batch.column(c).slice(first, len(rows)) for c in ("page_id", "url", "host")]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARSED.values(), strict=True)]
@@ -375,11 +426,30 @@ def templates(parsed: DataFrame, share: float = SHARE, least_pages: int = LEAST_
     return tokens.join(nested, ["host", "vector"]).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
 
 
-def _frame(batch: pa.RecordBatch, i: int, template: set[int]):
-    """A page's paths, its template elements by path, and its blocks (path, token, own characters)."""
-    paths, ptok, bpath, btok, bfree = (batch.column(c)[i].as_py() for c in ("paths", "ptok", "bpath", "btok", "bfree"))
-    elements = {p: t for p, t in zip(paths, ptok, strict=True) if t in template and tag_of(p) in SECTIONS | {"article", "main"}}
-    return paths, elements, [(paths[k], t, n) for k, t, n in zip(bpath, btok, bfree, strict=True)]
+class _Frame:
+    """A page's elements and blocks beside its host's template. Paths are numbered so that a path comes after what it goes on from."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, template: set[int]):
+        self.template = template
+        self.steps, self.ptok, self.parents, self.roles, self.bpath, self.btok, self.bfree = (batch.column(c)[i].as_py() for c in _LIGHT[1:])
+        self.tags = [tag_of(s) for s in self.steps]
+        self.element = [t in template and tag in SECTIONS | {"article", "main"} for t, tag in zip(self.ptok, self.tags, strict=True)]
+
+    def down(self, own: list) -> list:
+        """Each path's nearest value from the root on: its own, or else that of the path before."""
+        out = list(own)
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parents[k]]
+        return out
+
+    def up(self, of_block: list[int]) -> list[int]:
+        """Sums over the blocks in each path."""
+        out = [0] * len(self.steps)
+        for p, n in zip(self.bpath, of_block, strict=True):
+            out[p] += n
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parents[k]] += out[k]
+        return out
 
 
 def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,43 +462,51 @@ def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not template:
                 continue
             host = batch.column("host")[i].as_py()
-            _, elements, blocks = _frame(batch, i, template)
-            for path, t, n in blocks:
-                if n and t not in template and not plays_role(path):
-                    sums[host, 0] += n
-                    for p, e in elements.items():
-                        if within(path, p):
-                            sums[host, e] += n
+            f = _Frame(batch, i, template)
+            held = f.up([0 if t in template or f.roles[p] else n for p, t, n in zip(f.bpath, f.btok, f.bfree, strict=True)])
+            sums[host, 0] += held[0]
+            for k, n in enumerate(held):
+                if n and f.element[k]:
+                    sums[host, f.ptok[k]] += n
         yield pa.RecordBatch.from_pylist([{"host": h, "token": t, "mass": n} for (h, t), n in sums.items()], schema=pa.schema([("host", pa.string()), ("token", pa.int64()), ("mass", pa.int64())]))
 
 
-def chosen_blocks(paths: list[str], elements: dict[str, int], blocks: list[tuple[str, int, int]], template: set[int], mass: dict[int, int]) -> list[int]:
-    """Numbers of the blocks that are main text.
+def chosen_blocks(f: _Frame, mass: dict[int, int]) -> list[int]:
+    """Numbers of the blocks that are main text: what plays no role, and of that
 
-    The page's article or main, if it holds enough; else the innermost template element with most of the host's own text that
-    holds all of the page's; else the page. Of it, what plays no role, and no template text whose section holds no page's own text.
+    * on a host with a template no template text outside articles and mains whose section holds no page's own text;
+    * where the page has a main, only what is in it; where it has articles, nothing outside them that is links alone;
+    * where it has neither, of what is links alone or the template's only that in the innermost template element that holds most of the host's own text and all of the page's;
+    * on a host without a template, which can't tell more, the articles and first headings alone if most text is in articles.
     """
-    free = [k for k, (p, _, _) in enumerate(blocks) if not plays_role(p)]
-    size = lambda c: sum(max(1, blocks[k][2]) for k in free if within(blocks[k][0], c))
+    free = [k for k, p in enumerate(f.bpath) if not f.roles[p]]
+    kept = set(free)
+    size = f.up([max(1, n) * (k in kept) for k, n in enumerate(f.bfree)])
+    mains, articles = (f.down([f.tags[k] == tag and size[k] > 0 and not f.roles[k] for k in range(len(size))]) for tag in ("main", "article"))
     total = mass.get(0, 0)
-    named = [p for p in paths if tag_of(p) in ("article", "main") and not plays_role(p)]
-    known = [p for p in named if p in elements and mass.get(elements[p], 0) >= NAMED * total > 0]
-    own = known or [p for p in named if 0 < size(p) >= NAMED * size("")]
-    if own := [p for p in own if size(p)]:
-        best = max(own, key=lambda p: (mass.get(elements.get(p, 0), 0) if known else 0, size(p), -len(p)))
-        return [k for k in free if within(blocks[k][0], best)]
+    section = f.down([k if e else 0 for k, e in enumerate(f.element)])
+    if total:
+        stays = [a or m or not s or mass.get(f.ptok[s], 0) > 0 for a, m, s in zip(articles, mains, section, strict=True)]
+        free = [k for k in free if f.btok[k] not in f.template or stays[f.bpath[k]]]
+    if any(mains):
+        return [k for k in free if mains[f.bpath[k]]]
+    if any(articles):
+        if total:
+            return [k for k in free if articles[f.bpath[k]] or f.bfree[k]]
+        inside = sum(max(1, f.bfree[k]) for k in free if articles[f.bpath[k]])
+        if 2 * inside >= size[0]:
+            return [k for k in free if articles[f.bpath[k]] or f.tags[f.bpath[k]] == "h1"]
+        return free
     if not total:
         return free
-    needed = [blocks[k][0] for k in free if blocks[k][1] not in template and blocks[k][2]]
-    holds = sorted((p for p, e in elements.items() if mass.get(e, 0) >= HOLDS * total and not plays_role(p)), key=len, reverse=True)
-    best = next((p for p in holds if all(within(q, p) for q in needed)), "")
-    out = []
-    for k in free:
-        path, t, _ = blocks[k]
-        section = max((p for p in elements if within(path, p)), key=len, default="")
-        if within(path, best) and (t not in template or not section or mass.get(elements[section], 0)):
-            out.append(k)
-    return out
+    needed = f.up([int(k in kept and t not in f.template and n > 0) for k, (t, n) in enumerate(zip(f.btok, f.bfree, strict=True))])
+    depth = [0] * len(f.steps)
+    for k in range(1, len(depth)):
+        depth[k] = depth[f.parents[k]] + 1
+    holds = [k for k, e in enumerate(f.element) if e and mass.get(f.ptok[k], 0) >= HOLDS * total and not f.roles[k] and needed[k] == needed[0]]
+    best = max(holds, key=depth.__getitem__, default=0)
+    under = f.down([k == best for k in range(len(f.steps))])
+    return [k for k in free if under[f.bpath[k]]]
 
 
 def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +519,7 @@ def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i in range(len(batch)):
             template, mass = hosts(batch, i)
-            kept = chosen_blocks(*_frame(batch, i, template), template, mass)
+            kept = chosen_blocks(_Frame(batch, i, template), mass)
             texts = batch.column("btext")[i].values
             out.append("\n\n".join(texts[k].as_py() for k in kept))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -458,11 +536,10 @@ def extract(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAG
     kind = dict(pages.dtypes)["page_id"]
     parsed = stored(keyed.select("page_id", "url", "host", "html").mapInArrow(_parse_pages, f"page_id {kind}, url string, host string, {_PARSED_SQL}"), "parsed", "zstd")
     template = stored(templates(parsed.select("host", "sig", "toks", "counts", "places"), share, least_pages), "templates")
-    light = ["host", "paths", "ptok", "bpath", "btok", "bfree"]
-    masses = _beside(parsed.select(*light), template, [*light, "tokens"], "tokens").mapInArrow(_masses, "host string, token long, mass long").groupBy("host", "token").agg(F.sum("mass").alias("mass"))
+    masses = _beside(parsed.select(*_LIGHT), template, [*_LIGHT, "tokens"], "tokens").mapInArrow(_masses, "host string, token long, mass long").groupBy("host", "token").agg(F.sum("mass").alias("mass"))
     masses = masses.groupBy("host").agg(F.collect_list(F.struct("token", "mass")).alias("m")).select("host", F.col("m.token").alias("mtok"), F.col("m.mass").alias("mass"))
     known = stored(template.join(masses, "host", "left"), "hosts")
-    columns = ["page_id", "url", *light, "btext"]
+    columns = ["page_id", "url", *_LIGHT, "btext"]
     return _beside(parsed.select(*columns), known, [*columns, "tokens", "mtok", "mass"], "tokens").mapInArrow(_main_text, f"page_id {kind}, url string, text string, n_chars long")
 
 
