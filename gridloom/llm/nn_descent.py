@@ -7,7 +7,6 @@ that can be near enough, compared block by block, so that a group of any size gi
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,7 +26,7 @@ RECALL = 0.99
 AUDITED = 400
 AUDITED_LOOSE = 20_000
 #: Rows compared together, in the first lists and in components.
-FIRST_BLOCK = 512
+FIRST_BLOCK = 1024
 BLOCK = 256
 #: Directions of a cross-polytope hash: which of them a vector is most along, or against, is log2(2 * DIRECTIONS) bits of its place.
 DIRECTIONS = 16
@@ -54,16 +53,6 @@ def _edges(a, b, sim) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.asarray(sim, np.float64))], names=["a", "b", "sim"])
 
 
-def _best_across(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int):
-    """For each row of a block its k most alike of another block."""
-    sim = x @ y.T
-    k = min(k, len(others))
-    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(ids)), k)
-    top = top.ravel()
-    return ids[rows], others[top], sim[rows, top]
-
-
 def _best_of_block(ids: np.ndarray, x: np.ndarray, k: int):
     """For each row of a block its k most alike others."""
     sim = x @ x.T
@@ -80,64 +69,51 @@ def _best_of_block(ids: np.ndarray, x: np.ndarray, k: int):
 def orders_for(n: int, missed: float = 0.005) -> int:
     """How many orders of ``n`` vectors leave a pair at cosine 0.9 apart in all of them with a chance of ``missed``.
 
-    In one order such a pair is within a block with a chance that was measured, on random vectors of 64 components, as 0.5 at 80 blocks and 0.3 at
-    800, so it falls with the power 0.22 of the number of blocks (6 orders at 10,000 vectors, 8 at 50,000, 96 at 10**9). Closer pairs meet more often.
+    In one order such a pair is in one block with a chance that was measured, on random vectors of 64 components, as 0.55 at 10 blocks, 0.4 at 50 and
+    0.28 at 400, so it falls with the power 0.2 of the number of blocks (7 orders at 10,000 vectors, 11 at 50,000, 92 at 10**9). Closer pairs meet more often.
     """
-    met = min(0.6, 0.5 * (max(1, n) / (80 * FIRST_BLOCK)) ** -0.22)
+    met = min(0.55, 0.4 * (max(1, n) / (50 * FIRST_BLOCK)) ** -0.2)
     return max(2, math.ceil(math.log(missed) / math.log1p(-met)))
 
 
 def first_lists(nodes: DataFrame, k: int, n: int, seed: int = 0, orders: int | None = None) -> DataFrame:
     """``a``, ``b``, ``sim``: neighbours within blocks of several orders of ``nodes`` (``n`` rows), in single precision.
 
-    An order goes by cross-polytope hashes, as many as part ``n`` rows into blocks, and within equal ones by a projection. In it
-    every block is compared with itself and the one before it. Orders of another ``seed`` are others.
+    An order goes by cross-polytope hashes, as many as part ``n`` rows into blocks, and within equal ones by a projection. Only ids and codes are
+    sorted, all orders in one job; a row's place in its order tells its block, so blocks hang on the vectors alone. Orders of another ``seed`` are others.
     """
     orders = orders or orders_for(n)
     depth = max(1, math.ceil(math.log2(max(2, n / FIRST_BLOCK)) / math.log2(2 * DIRECTIONS)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column("v"), np.float32)
+            x = _matrix(batch.column("v"), np.float32) if len(batch) else np.zeros((0, 1), np.float32)
             rng = np.random.default_rng(1000 + seed)
-            codes, lines = np.zeros((len(x), orders), np.int64), np.zeros((len(x), orders), np.float32)
+            codes, lines = np.zeros((orders, len(x)), np.int64), np.zeros((orders, len(x)), np.float32)
             for r in range(orders):
                 for _ in range(depth):
                     along = x @ rng.normal(size=(x.shape[1], DIRECTIONS)).astype(np.float32)
                     most = np.abs(along).argmax(axis=1)
-                    codes[:, r] = codes[:, r] * 2 * DIRECTIONS + 2 * most + (along[np.arange(len(x)), most] > 0)
-                lines[:, r] = x @ rng.normal(size=x.shape[1]).astype(np.float32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            both = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * orders), pa.array(m.ravel())) for m in (codes, lines)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), flat, *both], names=["id", "v", "codes", "lines"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = [], None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held.append((np.asarray(batch.column("id")), _matrix(batch.column("v"), np.float32)))
-            if not held or (batch is not None and sum(len(i) for i, _ in held) < FIRST_BLOCK):
-                continue
-            ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            whole = len(ids) if batch is None else len(ids) // FIRST_BLOCK * FIRST_BLOCK
-            for at in range(0, whole, FIRST_BLOCK):
-                own = slice(at, min(at + FIRST_BLOCK, whole))
-                yield _edges(*_best_of_block(ids[own], x[own], k))
-                if before:
-                    yield _edges(*_best_across(ids[own], x[own], *before, k))
-                    yield _edges(*_best_across(*before, ids[own], x[own], k))
-                before = ids[own], x[own]
-            held = [(ids[whole:], x[whole:])] if whole < len(ids) else []
-
-    placed = stored(nodes.mapInArrow(place, "id long, v array<float>, codes array<long>, lines array<float>"), "places")
-    out = None
-    for r in range(orders):
-        dealt = placed.select("id", "v", F.col("codes")[r].alias("code"), F.col("lines")[r].alias("line")).orderBy("code", "line", "id")
-        found = dealt.select("id", "v").mapInArrow(compare, "a long, b long, sim double")
-        out = found if out is None else out.unionByName(found)
-    return out
+                    codes[r] = codes[r] * 2 * DIRECTIONS + 2 * most + (along[np.arange(len(x)), most] > 0)
+                lines[r] = x @ rng.normal(size=x.shape[1]).astype(np.float32)
+            number = np.repeat(np.arange(orders, dtype=np.int32), len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.asarray(batch.column("id")), orders)), pa.array(number), pa.array(codes.ravel()), pa.array(lines.ravel())], names=["id", "number", "code", "line"])
+
+    sorted_ = nodes.mapInArrow(place, "id long, number int, code long, line float").orderBy("number", "code", "line", "id")
+    row = F.monotonically_increasing_id()
+    placed = stored(sorted_.select("id", "number", F.shiftright(row, 33).alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")), "places")
+    held = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a number a task
+    ahead = dict(zip(sorted(held), np.r_[0, np.cumsum([held[p] for p in sorted(held)])].tolist(), strict=False))
+    known = nodes.sparkSession.createDataFrame(list(ahead.items()), "part long, ahead long")
+    place_in = F.col("ahead") + F.col("nth") - F.col("number") * F.lit(n)
+    keyed = placed.join(known, "part").select("id", (F.col("number").cast("long") * (n // FIRST_BLOCK + 1) + F.floor(place_in / FIRST_BLOCK)).alias("key"))
+    vectors = nodes.select("id", F.col("v").cast("array<float>").alias("v"))
+
+    def compare(part: pa.Table):
+        return _edges(*_best_of_block(np.asarray(part["id"]), _matrix(part["v"].combine_chunks(), np.float32), k))
+
+    dealt = keyed.join(vectors, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "v")
+    return dealt.mapInArrow(_by_key(compare), "a long, b long, sim double")
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:

@@ -1,7 +1,5 @@
 """Stages on tables with odd columns, and what NN-descent's audit and first lists are worth."""
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -107,20 +105,14 @@ def test_no_link_seen_is_not_perfect(spark):
 
 def test_orders_grow_slowly():
     got = [nn_descent.orders_for(10**k) for k in range(2, 10)]
-    assert got == sorted(got) and got[0] >= 2 and got[-1] < 110 and math.isclose(got[3] / 10, 1, abs_tol=0.3)
+    assert got == sorted(got) and got[0] >= 2 and 10 <= got[3] <= 20 and got[-1] < 110
 
 
-def test_first_lists_do_not_hang_on_batches(spark):
+def test_first_lists_do_not_hang_on_partitions(spark):
     rng = np.random.default_rng(4)
-    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 8)))], "id long, v array<double>").coalesce(1)
-    try:
-        found = []
-        for size in ("10000", "37"):
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-            found.append({(r["a"], r["b"]) for r in nn_descent.first_lists(nodes, 4, 700, orders=1).collect()})
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert found[0] == found[1]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 8)))], "id long, v array<double>")
+    found = [{(r["a"], r["b"]) for r in nn_descent.first_lists(df, 4, 3000, orders=2).collect()} for df in (nodes.coalesce(1), nodes.repartition(13))]
+    assert found[0] == found[1] and len(found[0]) > 3000 * 4
 
 
 @pytest.mark.parametrize("n", [0, 1, 2])
