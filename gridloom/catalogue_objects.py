@@ -12,8 +12,9 @@ from .geometry import resample as geo
 from .geometry.transforms import Affine, ByDimension, Field, InverseField, Sequence, Swirl, Swirls
 from .grid import Grid
 from .meta import ArrayMeta, Box
-from .operators import aggregate, axes, meshes, overlap, pointwise, segment, stitching, tracking
+from .operators import aggregate, axes, meshes, overlap, pointwise, registration, segment, stencil, stitching, tracking
 from .sources import synthetic, tables
+from .storage import stored
 
 
 def _image(s, d):
@@ -125,9 +126,17 @@ _LINEAR = "(case when k.a = 1 then p.py - floor(p.py) else 1 - (p.py - floor(p.p
 
 
 def _resampled(points: str) -> str:
-    return with_(IMAGE, f"pts as materialized ({points})", f"s as (select p.y, p.x, sum(i.v * {_LINEAR}) as v {_CORNERS.format(n=_NY)} group by p.y, p.x)") + f"select pts.y, pts.x, {r6('coalesce(s.v, 0)')} from pts left join s using (y, x)"
-
-
+    """Corners first, with whole numbers as keys, so that they meet the image by an equi-join."""
+    return (
+        with_(
+            IMAGE,
+            f"pts as materialized ({points})",
+            f"""crn as materialized (select p.y, p.x, greatest(0, least({_NY} - 1, floor(p.py) + k.a))::bigint as iy, greatest(0, least(63, floor(p.px) + k.b))::bigint as ix, {_LINEAR} as w
+ from pts p, (values (0, 0), (0, 1), (1, 0), (1, 1)) k(a, b) where p.py >= -0.5 and p.py < {_NY} - 0.5 and p.px >= -0.5 and p.px < 63.5)""",
+            "s as materialized (select crn.y, crn.x, sum(i.v * crn.w) as v from crn join img i on i.y = crn.iy and i.x = crn.ix group by crn.y, crn.x)",
+        )
+        + f"select pts.y, pts.x, {r6('coalesce(s.v, 0)')} from pts left join s using (y, x)"
+    )
 
 
 def _warped(s, d, transform, **more):
@@ -364,6 +373,39 @@ query(
 query("search_boxes", with_(RASTER, _FRAMES) + "select t, v as label, greatest(min(y) - 2, 0) as from_y, least(max(y) + 3, 24) as to_y, greatest(min(x) - 2, 0) as from_x, least(max(x) + 3, 32) as to_x from fr where v > 0 group by t, v")(
     lambda s, d: tracking.boxes_around(tracking.measures(_frames(s, d)), {"y": 24, "x": 32}, 2).select("t", "label", "from_y", "to_y", "from_x", "to_x")
 )
+_PATHS = "tr as (select t as t0, label as first, t, label from {starts} union all select t0, first, tr.t + 1, st.b from tr join st on st.t = tr.t and st.a = tr.label)"
+_BACK = """bs as (select sh.t + 1 as t, b as a, a as b from (select sh.*, row_number() over (partition by t, b order by shared desc, a) as k from sh) sh join sz s on s.t = sh.t + 1 and s.label = b where k = 1 and shared >= s.voxels * 0.2),
+ bk as (select t as t0, label as first, t, label from ask union all select t0, first, bk.t - 1, bs.b from bk join bs on bs.t = bk.t and bs.a = bk.label)"""
+
+
+def _borne(name: str, source: str) -> str:
+    """Daughters of the tracks of a table, as ``tracking.lineages`` finds them."""
+    return f"""{name}_en as (select t0, first, max(t) + 1 as lost, arg_max(voxels, t) as at_last from {source} group by t0, first),
+ {name}_mo as (select p.t0, p.first, e.lost, e.at_last, p.voxels, p.mean_y, p.mean_x from {source} p join {name}_en e using (t0, first) where e.lost < 30 and p.t >= e.lost - 12 qualify row_number() over (partition by p.t0, p.first order by p.voxels desc, p.t) = 1),
+ {name} as (select m.t0, m.first, b.t, b.label, row_number() over (partition by m.t0, m.first order by b.t, sqrt((b.mean_y - m.mean_y) ** 2 + (b.mean_x - m.mean_x) ** 2), b.label) as nth
+  from {name}_mo m join nbs b on b.t >= m.lost and b.t < least(m.lost + 4, 30) and sqrt((b.mean_y - m.mean_y) ** 2 + (b.mean_x - m.mean_x) ** 2) <= 8 and b.voxels >= m.voxels * 0.1
+  where m.at_last <= m.voxels * 0.98 qualify nth <= 2)"""
+
+
+query(
+    "lineage_branches",
+    with_(
+        RASTER, _FRAMES, _SIZES, _SHARED, _STEP, _BORN,
+        "mz as (select t, v as label, count(*) as voxels, avg(y) as mean_y, avg(x) as mean_x from fr where v > 0 group by all)",
+        "nbs as (select mz.* from nb join mz using (t, label))",
+        "ask as (select t, label from sz where t in (0, 9, 18, 26))",
+        "sts as (select t, label from ask union select t, label from nb)",
+        _PATHS.format(starts="sts"), _BACK,
+        "mn as (select p.*, mz.voxels, mz.mean_y, mz.mean_x from (select tr.* from tr join ask on ask.t = tr.t0 and ask.label = tr.first union all select * from bk where t < t0) p join mz using (t, label))",
+        "bt as (select tr.*, mz.voxels, mz.mean_y, mz.mean_x from tr join nb on nb.t = tr.t0 and nb.label = tr.first join mz on mz.t = tr.t and mz.label = tr.label)",
+        _borne("dm", "mn"), _borne("db", "bt"),
+        "br as (select t0 as rt, first as rl, t as bt, label as bl, 1 as level, [nth] as path from dm union all select rt, rl, db.t, db.label, level + 1, list_append(path, db.nth) from br join db on db.t0 = br.bt and db.first = br.bl where level < 8)",
+        "nu as (select *, row_number() over (partition by rt, rl order by level, path) as branch from br)",
+    )
+    + """select t0, first as label0, 0::bigint as branch, -1::bigint as mother, t, label from mn
+ union all select nu.rt, nu.rl, nu.branch, coalesce(mo.branch, 0), bt.t, bt.label from nu join bt on bt.t0 = nu.bt and bt.first = nu.bl
+  left join nu mo on mo.rt = nu.rt and mo.rl = nu.rl and mo.path = nu.path[: -2] where nu.branch < 8""",
+)(lambda s, d: tracking.lineages(_frames(s, d), _frames(s, d).df.where("v > 0 and t in (0, 9, 18, 26)").select("t", F.col("v").alias("label")), frames=12, divided=0.98, gap=4, within=8.0).na.fill(-1, ["mother"]))
 query("daughters")(lambda s, d: tracking.daughters(_frames(s, d), gap=3, within=6.0))
 
 # tiles
@@ -432,6 +474,32 @@ def _match(s, d):
     return stitching.vote_translation(stitching.match(a, b, ("y", "x")), ("y", "x"))
 
 
+@query("stitch_run", digits=2)
+def _stitch_run(s, d):
+    """Four tiles of orders' points, three of them moved: every overlapping pair's matches and errors."""
+    o = s.read.parquet(f"{d}/orders.parquet")
+    y, x = (F.col("o_totalprice") * 7) % 1000, (F.col("o_totalprice") * 13) % 1000
+    corners = s.createDataFrame([(t, 480.0 * (t // 2), 480.0 * (t // 2) + 520.0, 480.0 * (t % 2), 480.0 * (t % 2) + 520.0) for t in range(4)], "tile long, lo_y double, hi_y double, lo_x double, hi_x double")
+    own = o.select(F.col("o_orderkey").alias("id"), y.alias("y"), x.alias("x")).join(F.broadcast(corners), (F.col("y") >= F.col("lo_y")) & (F.col("y") <= F.col("hi_y")) & (F.col("x") >= F.col("lo_x")) & (F.col("x") <= F.col("hi_x")))
+    moved = own.select("tile", "id", (F.col("y") + F.col("tile") * 1.5).alias("y"), (F.col("x") - F.col("tile") * 2.25).alias("x"))
+    placed, report = stitching.stitch(corners, moved, ("y", "x"), margin=10.0, epsilon=1.0)
+    ends = placed.select(F.col("tile").alias("b"), F.round("t_y", 2).alias("b_y"), F.round("t_x", 2).alias("b_x"))
+    return report.drop("error", "error_max").join(ends, "b", "left").withColumns({c: F.col(c).cast("long") for c in ("kept", "dropped")})
+
+
+@query("register_pair", digits=3)
+def _register_pair(s, d):
+    """The image, smoothed, and itself turned about its middle: squared local correlation before and after a fit."""
+    image = stencil.gaussian(_image(s, d), 2.5)
+    n = image.meta.shape[0]
+    fixed = Grid(stored(image.df, "fixed"), image.meta)
+    turned = geo.resample(fixed, fixed.meta, Swirl((n / 2, 32.0), 24.0, 0.25))
+    moving = Grid(stored(turned.df, "moving"), turned.meta)
+    done = registration.register([fixed], [moving], fit=registration.Fit(steps=(12,), spacing=8.0, smooth=0.1), levels=[0])
+    (before, after), = done.correlation
+    return s.createDataFrame([("before", before), ("after", after)], "what string, correlation double")
+
+
 # surfaces
 
 query(

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from .catalogue import _N, IMAGE, VOLUME, _both, _smooth, query, r6, with_
 from .grid import Grid
 from .meta import Box
-from .operators.aggregate import pyramid
-from .plans.pipeline import Pipeline, Registry, Spec, coverage
+from .operators.aggregate import downsample, pyramid
+from .plans.pipeline import Pipeline, Registry, Spec, coverage, coverage_levels
 from .sources import images, stores, tables
 from .storage import shared_folder
 from .streaming import demand
@@ -46,6 +46,24 @@ def _chain(s, d):
     return r.open("chain_top")
 
 
+_HELD = "(x >= 2 or y = 2)"
+query(
+    "coverage_levels",
+    f"""with fine as (select y, x, {_HELD}::bigint as held from range(0, (({_N} + 49) // 50)::bigint) a(y), range(0, 4) b(x))
+ select 0::bigint as level, y as chunk_y, x as chunk_x, 3 * held as bits from fine
+ union all select 1, y // 2, x // 2, (y // 2 = 1)::bigint + 2 * min(held) from fine group by y // 2, x // 2""",
+)(lambda s, d: _coverage_levels(s, d))
+
+
+def _coverage_levels(s, d):
+    """The image and its half, some chunks of each held."""
+    fine = _image(s, d)
+    metas = [replace(g.meta, chunk=(50, 16)) for g in (fine, downsample(fine, [2, 2], "mean"))]
+    y, x = F.floor(F.col("y") / 50).cast("long").alias("chunk_y"), F.floor(F.col("x") / 16).cast("long").alias("chunk_x")
+    own = fine.df.select(y, x).distinct()
+    return coverage_levels(metas, [own.where("chunk_x >= 2 or chunk_y = 2"), own.where("chunk_y = 1 and chunk_x < 2")])
+
+
 query("coverage", f"select y as chunk_y, x as chunk_x, (x = 1 or y = 2)::bigint as held from range(0, (({_N} + 49) // 50)::bigint) a(y), range(0, 4) b(x)")(
     lambda s, d: coverage(_image(s, d), _image(s, d).df.select(F.floor(F.col("y") / 50).cast("long").alias("chunk_y"), F.floor(F.col("x") / 16).cast("long").alias("chunk_x")).where("chunk_x = 1 or chunk_y = 2"))
 )

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..grid import Grid
+from ..storage import stored
 
 
 def _factors(grid: Grid, factor) -> dict[str, int]:
@@ -88,8 +90,31 @@ def chunk_summary(grid: Grid) -> DataFrame:
 
 
 def percentile_range(grid: Grid, low: float = 0.5, high: float = 99.5) -> DataFrame:
-    """Contrast limits: exact percentiles, linear between values."""
-    return grid.df.agg(F.expr(f"percentile(v, {low / 100})").alias("low"), F.expr(f"percentile(v, {high / 100})").alias("high"))
+    """Contrast limits: exact percentiles, linear between values; null for an array without values.
+
+    Values are counted, and the counts dealt out in order; a number a partition tells which partitions hold the ranks that are asked for, and only there a running sum is made.
+    """
+    spark = grid.df.sparkSession
+    counts = grid.df.where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    dealt = stored(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()), "counts")
+    totals = dict(sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()))
+    ahead, whole = {}, 0
+    for part, n in totals.items():
+        ahead[part], whole = whole, whole + n
+    asked = [p / 100 * (whole - 1) for p in (low, high)]
+    ranks = sorted({r for p in asked for r in (floor(p), ceil(p))}) if whole else []
+    parts = {max(p for p in ahead if ahead[p] <= r) for r in ranks}
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    known = spark.createDataFrame([(p, ahead[p]) for p in parts], "part int, ahead long")
+    rows = dealt.where(F.col("part").isin(sorted(parts))).withColumn("upto", upto).join(F.broadcast(known), "part") if parts else None
+    found: dict[int, float | None] = dict.fromkeys(ranks)
+    if rows is not None:
+        wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
+        stop, start = F.col("ahead") + F.col("upto"), F.col("ahead") + F.col("upto") - F.col("n")
+        for row in rows.select("v", F.explode(F.filter(wanted, lambda r: (r >= start) & (r < stop))).alias("rank")).collect():
+            found[row["rank"]] = float(row["v"])
+    at = [None if not whole else found[floor(p)] + (found[ceil(p)] - found[floor(p)]) * (p - floor(p)) for p in asked]
+    return spark.createDataFrame([tuple(at)], "low double, high double")
 
 
 def intensity_moments(grid: Grid, floor_percent: float = 20.0) -> DataFrame:

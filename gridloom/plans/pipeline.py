@@ -258,3 +258,26 @@ def coverage(grid: Grid, held: DataFrame) -> DataFrame:
         cols.append((F.floor(F.col("id") / step) % n).cast("long").alias(k))
     every = held.sparkSession.range(total).select(*cols)
     return every.join(held.select(*keys).distinct().withColumn("own", F.lit(1)), keys, "left").select(*keys, F.coalesce("own", F.lit(0)).cast("long").alias("held"))
+
+
+def coverage_levels(levels: list[ArrayMeta], held: list[DataFrame]) -> DataFrame:
+    """``level``, chunk indices, ``bits``: of every level's chunks, finest level first.
+
+    Bit 1: the chunk is held (``held`` of its level has ``chunk_<axis>``). Bit 2: all chunks of the finest level under it are, whether it is held or not. The finest chunks are listed
+    by a range and each names the chunks over it, whose least flag is the second bit: one aggregation a level.
+    """
+    fine, spark = levels[0], held[0].sparkSession
+    keys = [f"chunk_{a}" for a in fine.axes]
+    own = coverage(Grid(held[0], fine), held[0])
+    out = own.select(F.lit(0).cast("long").alias("level"), *keys, (F.col("held") * 3).alias("bits"))
+    for k, meta in enumerate(levels[1:], 1):
+        over = own
+        for a, key, n, c, m, d, size, wide in zip(fine.axes, keys, fine.shape, fine.chunk, meta.shape, meta.chunk, fine.voxel_size, meta.voxel_size, strict=True):
+            ratio = float(size / wide)
+            low = F.floor(F.floor(F.col(key) * c * ratio + 1e-9) / d)
+            last = F.least(F.ceil(F.least((F.col(key) + 1) * c, F.lit(n)) * ratio - 1e-9), F.lit(m)) - 1
+            over = over.withColumn(f"over_{a}", F.explode(F.sequence(F.least(low, F.floor(last / d)).cast("long"), F.floor(last / d).cast("long"))))
+        whole = over.groupBy(*[F.col(f"over_{a}").alias(key) for a, key in zip(fine.axes, keys, strict=True)]).agg(F.min("held").alias("all"))
+        met = coverage(Grid(held[k], meta), held[k]).join(whole, keys, "left")
+        out = out.unionByName(met.select(F.lit(k).cast("long").alias("level"), *keys, (F.col("held") + 2 * F.coalesce("all", F.lit(0))).alias("bits")))
+    return out
