@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from .catalogue import _N, IMAGE, VOLUME, _both, _smooth, query, r6, with_
 from .grid import Grid
 from .meta import Box
+from .operators import pointwise
 from .operators.aggregate import downsample, pyramid
-from .plans.pipeline import Pipeline, Registry, Spec, coverage, coverage_levels
+from .plans.pipeline import OPS, Op, Pipeline, Registry, Spec, at_one_size, coverage, coverage_levels, register
 from .sources import images, stores, tables
 from .storage import shared_folder
 from .streaming import demand
@@ -131,3 +132,19 @@ query(
     )
     + "select key, min_by(level, (level, seq)) as level, min_by(seq, (level, seq)) as seq, count(*) as claims from lv group by key",
 )(lambda s, d: demand.wanted_now(_requests(s, d)))
+
+
+if "two_voxels" not in OPS:
+    register(Op("two_voxels", pointwise.scale, voxel_size=(2.0, 2.0)))
+
+
+@query(
+    "pinned_levels",
+    with_(IMAGE, _mean2("img", _N, "l1"), "o1 as (select y, x, v * 2 + 0.5 as v from l1)", _mean2("o1", f"(({_N} + 1) // 2)", "o2"))
+    + f"select 0::bigint as level, y, x, {r6('-v')} from o1 union all select 1, y, x, {r6('-v')} from o2",
+)
+def _pinned(s, d):
+    """An operator of voxels of 2 x 2 between others: it runs on the pyramid's second level, and the third is made of its result."""
+    spec = Spec.of({"source": "image", "ops": [{"op": "two_voxels", "factor": 2.0, "offset": 0.5}, {"op": "scale", "factor": -1.0}]})
+    done = at_one_size(spec, pyramid(_image(s, d), 3), coarse="compute")
+    return reduce(DataFrame.unionByName, [p.read().df.select(F.lit(k).cast("long").alias("level"), "y", "x", "v") for k, p in enumerate(done)])

@@ -16,21 +16,26 @@ from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..geometry.resample import at_voxel_size
 from ..grid import Grid
-from ..meta import ArrayMeta, Box
+from ..meta import ArrayMeta, Box, level_for, nearest_level
 from ..operators import aggregate, axes, combine, pointwise, segment, stencil
 from ..storage import stored
 
 
 @dataclass(frozen=True)
 class Op:
-    """An operator as a spec can name it: its function, its halo, how it changes the grid, whether its stage is kept."""
+    """An operator as a spec can name it: its function, its halo, how it changes the grid, whether its stage is kept.
+
+    One with a ``voxel_size`` (of the last axes), such as a model trained at one resolution, runs on arrays of that size only; see ``at_one_size``.
+    """
 
     name: str
     apply: Callable[..., Grid]
     halo: Callable[[dict, ArrayMeta], tuple[int, ...]] = lambda params, meta: (0,) * len(meta.axes)
     factor: Callable[[dict, ArrayMeta], tuple[int, ...]] = lambda params, meta: (1,) * len(meta.axes)
     cache: bool = False
+    voxel_size: tuple[float, ...] | None = None
 
 
 OPS: dict[str, Op] = {}
@@ -281,3 +286,39 @@ def coverage_levels(levels: list[ArrayMeta], held: list[DataFrame]) -> DataFrame
         met = coverage(Grid(held[k], meta), held[k]).join(whole, keys, "left")
         out = out.unionByName(met.select(F.lit(k).cast("long").alias("level"), *keys, (F.col("held") + 2 * F.coalesce("all", F.lit(0))).alias("bits")))
     return out
+
+
+def at_one_size(spec: Spec, levels: list[Grid], coarse: str = "none", input_level: str = "resample", rtol: float = 0.05) -> list[Pipeline]:
+    """The pipelines of a spec with an operator of one voxel size, over an image's ``levels`` (finest first): the level that it runs on, and coarser ones.
+
+    The operator gets the level whose voxels are of its size within ``rtol``. Where there is none, ``input_level`` says what then: ``resample`` brings the coarsest finer level (the finest, if all are coarser)
+    to that size, ``nearest`` takes the level of the nearest size as it is, ``exact`` raises ValueError. With ``coarse`` ``compute`` the operator's result is averaged down to each coarser level of the image, as far as its voxels grow by whole
+    numbers, and the operators after it run on that; with ``none`` there is the one level. A box read of a pipeline scans that level of the source only. Raises ValueError where no operator, or more than one,
+    has a size.
+    """
+    if coarse not in ("none", "compute") or input_level not in ("resample", "nearest", "exact"):
+        raise ValueError("coarse is none or compute, input_level resample, nearest or exact")
+    sized = [i for i, (name, _) in enumerate(spec.ops) if OPS[name].voxel_size is not None]
+    if len(sized) != 1:
+        raise ValueError(f"{len(sized)} operators have a voxel size, where one is wanted")
+    want = OPS[spec.ops[sized[0]][0]].voxel_size
+    metas = [g.meta for g in levels]
+    sizes = [m.voxel_size[len(m.axes) - len(want) :] for m in metas]
+    spatial = [replace(m, axes=m.axes[-len(want) :], shape=m.shape[-len(want) :], chunk=m.chunk[-len(want) :], voxel_size=s, units=m.units[-len(want) :], translation=m.translation[-len(want) :]) for m, s in zip(metas, sizes, strict=True)]
+    at = level_for(spatial, want, rtol)
+    at = 0 if at is None else at
+    exact = all(abs(a - b) <= rtol * b for a, b in zip(sizes[at], want, strict=True))
+    if not exact and input_level == "exact":
+        raise ValueError(f"no level has voxels of {want} within {rtol:.0%}: {sizes}")
+    if not exact and input_level == "nearest":
+        at, exact = nearest_level(spatial, want), True
+    source = levels[at] if exact else at_voxel_size(levels[at], want)
+    out, ops = [Pipeline(spec, source)], list(spec.ops)
+    for k in range(at + 1, len(levels) if coarse == "compute" else at + 1):
+        step = [max(1, round(b / a)) for a, b in zip(sizes[k - 1], sizes[k], strict=True)]
+        if all(f == 1 for f in step):
+            break
+        down = [("downsample", {"factor": list(step), "mode": "mean"})]
+        ops = [*ops[: sized[0] + len(out)], *down, *spec.ops[sized[0] + 1 :]]
+        out.append(Pipeline(replace(spec, ops=type(spec.ops)(ops)), source))
+    return out

@@ -1,12 +1,12 @@
-"""Lineages through divisions, exact percentiles, coverage of all levels."""
+"""Lineages through divisions, exact percentiles, coverage of all levels, operators of one voxel size."""
 
 import numpy as np
 import pytest
 
 from gridloom.grid import Grid
 from gridloom.meta import ArrayMeta, Box
-from gridloom.operators import aggregate, tracking
-from gridloom.plans.pipeline import coverage_levels
+from gridloom.operators import aggregate, pointwise, tracking
+from gridloom.plans.pipeline import OPS, Op, Spec, at_one_size, coverage_levels
 
 
 def label_frames(spark, frames):
@@ -69,3 +69,27 @@ def test_coverage_of_all_levels(spark):
                 under = [c for c in ((i, j) for i in range(3) for j in range(3)) if all(a * s < min((i + 1) * n, w) and b * s > i * n for a, b, s, i, n, w in zip(box.start, box.stop, size, c, metas[0].chunk, metas[0].shape, strict=True))]
                 want[k, y, x] = int((y, x) in held[k]) + 2 * all(c in fine for c in under)
     assert got == want and {1, 2, 3} <= set(want.values()) | {1}
+
+
+def test_operators_of_one_voxel_size(spark, monkeypatch):
+    for name, size in (("of_two", (2.0,)), ("of_three", (3.0,))):
+        monkeypatch.setitem(OPS, name, Op(name, pointwise.scale, voxel_size=size))
+    df = spark.createDataFrame([(i, float(i * i % 11)) for i in range(16)], "x long, v double")
+    levels = aggregate.pyramid(Grid(df, ArrayMeta(("x",), (16,), chunk=(4,))), 4)
+    values = lambda g: [r["v"] for r in g.df.orderBy("x").collect()]
+    spec = lambda name: Spec.of({"source": "a", "ops": [{"op": "scale", "factor": 3.0}, {"op": name, "factor": 2.0}, {"op": "scale", "offset": 1.0, "factor": 1.0}]})
+    alone = at_one_size(spec("of_two"), levels)
+    assert len(alone) == 1 and np.allclose(values(alone[0].read()), 6 * np.array(values(levels[1])) + 1)
+    assert alone[0].read(Box((2,), (5,))).df.count() == 3 and alone[0].metas()[-1].voxel_size == (2.0,)
+    every = at_one_size(spec("of_two"), levels, coarse="compute")
+    assert [p.metas()[-1].voxel_size[0] for p in every] == [2.0, 4.0, 8.0]
+    for p, g in zip(every, levels[1:], strict=True):
+        assert np.allclose(values(p.read()), 6 * np.array(values(g)) + 1)
+    (near,), (made,) = (at_one_size(spec("of_three"), levels, input_level=how) for how in ("nearest", "resample"))
+    assert near.source is levels[1] or near.source.meta.voxel_size == (2.0,)
+    assert made.source.meta.voxel_size == (3.0,) and made.read().df.count() == 6
+    for bad in ({"input_level": "exact"}, {"coarse": "all"}, {"input_level": "none"}):
+        with pytest.raises(ValueError):
+            at_one_size(spec("of_three"), levels, **bad)
+    with pytest.raises(ValueError):
+        at_one_size(Spec.of({"source": "a", "ops": [{"op": "scale", "factor": 3.0}]}), levels)
