@@ -142,6 +142,38 @@ def test_parts_of_a_long_text_are_one_text(spark, texts, monkeypatch):
         assert bytes(r["kept"]) == bytes(x for k, x in enumerate(b) if k not in gone)
 
 
+def most_python_in_a_task(node):
+    """Of a physical plan: Python nodes of the stage that ends with ``node``, and the most in any stage."""
+    below = [most_python_in_a_task(node.children().apply(i)) for i in range(node.children().size())]
+    own = ("InArrow" in node.nodeName()) + sum(x[0] for x in below)
+    most = max([own, *(x[1] for x in below)])
+    return (0 if "Exchange" in node.nodeName() else own), most
+
+
+def test_passages_take_one_python_process_a_task(spark, texts, monkeypatch):
+    seen = []
+
+    def watched(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        seen.append(most_python_in_a_task(plan.initialPlan() if "Adaptive" in plan.nodeName() else plan)[1])
+        return df
+
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name, keep=suffix_dedup.stored: keep(watched(df), name))
+    watched(suffix_dedup.without_repeats(docs_of(spark, texts), 12))
+    assert max(seen) == 1 and len(seen) > 3
+
+
+@pytest.mark.parametrize("helper", [suffix_dedup._as_words, suffix_dedup._kept(False), suffix_dedup._kept(True)])
+def test_texts_leave_python_in_slices(helper):
+    rows = [(b"some words %d " % i) * 2000 for i in range(60)] + [b"", b"x" * 2 * suffix_dedup.CHUNK]
+    ranges = pa.array([None] * len(rows), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+    n = pa.array(range(len(rows)))
+    batch = pa.RecordBatch.from_arrays([n, n, n, pa.array(rows), ranges], names=["row", "k", "th", "text", "ranges"])
+    out = list(helper(iter([batch])))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(len(rows)))
+    assert len(out) > 6 and all(len(b) == 1 or b.nbytes < 3 * suffix_dedup.CHUNK for b in out)
+
+
 def test_sorting_one_letter_is_quick():
     at = time.time()
     assert len(repeated_starts([np.full(200_000, 97, np.uint8)], 400)[0]) == 200_000 - 399
